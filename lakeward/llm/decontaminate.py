@@ -305,3 +305,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
     total = found.distinct().groupBy(*keys).agg(F.max("n_passages").alias("n_passages"), F.sum("n_retrieved").alias("n_retrieved"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("contaminated").alias("contaminated"), F.max("overlap").alias("overlap"))
     base = rows.select(*carried[:-1], *keys)
     return base.join(total, ["_id", "_key"]).select(*carried[:-1], *names)
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all of their columns, whatever their names."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    return find_leaks(packed, items, settings, ["_row"]).where("not contaminated").select("_row.*")

@@ -166,6 +166,15 @@ def grouped(counted: DataFrame, keep: list[str]) -> DataFrame:
     return counted.select(*keep, *(F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(g) for c, g in (("lang", "_lang"), ("source", "_source"))), *vector())
 
 
+def _verdicts(docs: DataFrame, names: list[str], steps: int, cutoff: float) -> DataFrame:
+    """``names``, the base counts, base_failed, kept and d2; the counts are taken once and written."""
+    counted = materialise(grouped(with_counts(docs, names), [*names, *COUNTS, base_failed().alias("base_failed")]))
+    found = estimates(counted.where(~F.col("base_failed")).select(*GROUP, *STATS), steps)
+    far = _distance(counted.join(found, GROUP, "left"), len(STATS))
+    within = F.coalesce(F.col("d2") <= cutoff, F.lit(True))
+    return far.select(*names, *COUNTS, "base_failed", (~F.col("base_failed") & within).alias("kept"), "d2")
+
+
 def judge(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed, kept and distance (squared) for each row.
 
@@ -175,9 +184,10 @@ def judge(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFr
     small to differ from its own centre all rows that pass the base rules stay; an empty table
     gives an empty one; other columns are left out.
     """
-    names = ["doc_id", "lang", "source"]
-    counted = materialise(grouped(with_counts(docs, names), [*names, *COUNTS, base_failed().alias("base_failed")]))
-    found = estimates(counted.where(~F.col("base_failed")).select(*GROUP, *STATS), steps)
-    far = _distance(counted.join(found, GROUP, "left"), len(STATS))
-    within = F.coalesce(F.col("d2") <= cutoff, F.lit(True))
-    return far.select(*names, *COUNTS, "base_failed", (~F.col("base_failed") & within).alias("kept"), F.col("d2").alias("distance"))
+    return _verdicts(docs, ["doc_id", "lang", "source"], steps, cutoff).withColumnRenamed("d2", "distance")
+
+
+def keep_good(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all of their columns, whatever their names."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
+    return _verdicts(packed, ["_row", "lang", "source"], steps, cutoff).where("kept").select("_row.*")

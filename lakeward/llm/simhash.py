@@ -125,3 +125,12 @@ def near_duplicates(docs: DataFrame, distance: int = 2, groups: int = 5) -> Data
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = 2, groups: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component: one document of each group of near copies.
+
+    Rows with a null doc_id, or with the doc_id that stays, all stay.
+    """
+    gone = near_duplicates(docs, distance, groups).where("doc_id <> component_id").select("doc_id")
+    return docs.join(materialise(gone), "doc_id", "left_anti").select(*docs.columns)
