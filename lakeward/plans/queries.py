@@ -1 +1,452 @@
-QUERIES = {}
+"""One query per operator, over the driver's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import date_key, masked, row_hash, surrogate_key, typed
+from ..operators import backfill, contract, control, dq, recon, scd2, star, upsert
+from ..streaming import bronze
+from . import flagship
+from .inputs import clients, deposits, events, rules, table, trades
+
+AS_OF = "2000-01-01"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("date")
+
+
+def _checked(spark, d):
+    return dq.evaluate(deposits(spark, d).join(clients(spark, d), "client_id", "left"), rules())
+
+
+def _feeds(spark, d):
+    """Two feeds of one truth: some ids shared, some amounts a cent or more off, some rows missing."""
+    base = deposits(spark, d).where("amount_usd is not null")
+    k = F.col("deposit_id")
+    vendor = base.where(k % 5 != 0)
+    off = F.when(k % 3 == 0, F.col("amount_usd") + F.lit(Decimal("0.01"))).otherwise(F.col("amount_usd")).cast("decimal(18,2)")
+    house = base.where(k % 7 != 0).withColumn("amount_usd", off).withColumn("deposit_id", F.when(k % 2 == 0, k).otherwise(k + 100_000_000))
+    return vendor, house
+
+
+def _matched(spark, d):
+    v, w = _feeds(spark, d)
+    first = recon.tier1(v, w)
+    return v, w, first, recon.tier2(v, w, first)
+
+
+def _history(spark, d):
+    return scd2.build(events(spark, d), "user_id", ["band"], ["note"])
+
+
+DIM = ["user_id", "band", "note", "valid_from", "valid_to", "is_current", "is_deleted", "source_lsn", "source_op"]
+
+
+@query
+def net_by_day(spark, d):
+    return flagship.net_by_day(spark, d)
+
+
+@query
+def typed_projection(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string"), F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("bad"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"))
+    return o.select(typed("o_orderkey", "bigint"), typed("bad", "int"), typed("amount", "decimal(18,2)"))
+
+
+@query
+def row_hash_null_safe(spark, d):
+    dep = deposits(spark, d)
+    return dep.select("deposit_id", row_hash("deposit_id", "client_id", "payment_method", "amount_usd").alias("row_hash"))
+
+
+@query
+def alias_coalesce(spark, d):
+    c = contract.Contract({"id": "bigint", "payment_method": "string"}, ("id",), {"method": "payment_method"}, {"credit_card": "payment_method"})
+    o = table(spark, d, "orders")
+    even = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("method"))
+    odd = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("payment_method"), F.lit("CARD").alias("credit_card"))
+    return contract.normalise(even, c).unionByName(contract.normalise(odd, c)).select("id", "payment_method", F.col("_recovered").alias("recovered"))
+
+
+@query
+def watermark_read(spark, d):
+    o = table(spark, d, "orders")
+    master = o.agg(F.max("o_orderdate").alias("latest_loaded_ts")).select(F.lit("orders").alias("table_name"), F.lit("SUCCESS").alias("last_load_status"), "latest_loaded_ts")
+    return control.read_at_watermark(o, master, "orders", "o_orderdate").select("o_orderkey", "o_custkey")
+
+
+@query
+def load_manifest(spark, d):
+    """Order months as files; a third was seen before, half of those with other content."""
+    m = F.date_format("o_orderdate", "yyyyMM")
+    found = table(spark, d, "orders").groupBy(m.alias("source_file")).agg(F.count("*").alias("n")).select("source_file", F.sha2(F.col("n").cast("string"), 256).alias("file_hash"))
+    seen = found.where(F.col("source_file").cast("int") % 3 == 0).select("source_file", F.when(F.col("source_file").cast("int") % 2 == 0, F.col("file_hash")).otherwise("old").alias("file_hash"), F.lit(1).alias("ingest_count"))
+    return control.register_files(found, seen)
+
+
+@query
+def file_lag(spark, d):
+    li = table(spark, d, "lineitem").select(F.last_day(F.col("l_shipdate").cast("date")).alias("label"), F.col("l_shipdate").cast("date").alias("day"))
+    return control.file_lag(li.where("day(day) <= 27"), "label", "day")
+
+
+@query
+def missing_days(spark, d):
+    return control.missing_days(table(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderdate").cast("date").alias("day")), "day")
+
+
+@query
+def sequence_gaps(spark, d):
+    return control.sequence_gaps(table(spark, d, "orders").where("o_orderkey % 5 <> 0"), F.regexp_extract(F.concat(F.lit("DEP"), F.col("o_orderkey").cast("string")), r"(\d+)$", 1))
+
+
+@query
+def dq_evidence(spark, d):
+    return dq.evidence(_checked(spark, d), "deposit_id")
+
+
+@query
+def dq_summary(spark, d):
+    return dq.summary(dq.evidence(_checked(spark, d), "deposit_id"))
+
+
+@query
+def dq_clean(spark, d):
+    return dq.split(_checked(spark, d))[0].select("deposit_id", "client_id", "amount_usd")
+
+
+@query
+def dq_quarantine(spark, d):
+    return dq.split(_checked(spark, d))[1].select("deposit_id", "failed_checks")
+
+
+def _open(spark, d):
+    held = dq.split(_checked(spark, d))[1]
+    return held.select("deposit_id", "failed_checks", F.col("deposit_date").alias("quarantined_at"), F.lit(None).cast("date").alias("resolved_at"))
+
+
+@query
+def quarantine_release(spark, d):
+    """Later the unknown clients arrive; rows with another fault stay open."""
+    late = clients(spark, d).unionByName(table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("client_id"), F.lit("1992-01-01").cast("date").alias("signup_date"), F.lit("approved").alias("kyc_status")))
+    now = dq.split(dq.evaluate(deposits(spark, d).join(late, "client_id", "left"), rules()))[0]
+    return dq.release(_open(spark, d), now, "deposit_id", _as_of()).select("deposit_id", "failed_checks", "resolved_at")
+
+
+@query
+def quarantine_new_only(spark, d):
+    rows = _open(spark, d)
+    return dq.new_only(rows, rows.where("deposit_id % 2 = 0"), "deposit_id").select("deposit_id")
+
+
+@query
+def quarantine_ageing(spark, d):
+    return dq.age(_open(spark, d), "quarantined_at", _as_of()).groupBy("ageing_action").agg(F.count("*").alias("n"), F.max("age_days").alias("oldest"))
+
+
+@query
+def restatement_bound(spark, d):
+    fresh, old = dq.bound(deposits(spark, d), "deposit_date", F.lit("1995-06-01").cast("date"))
+    return fresh.agg(F.count("*").alias("restatable")).crossJoin(old.agg(F.count("*").alias("too_old")))
+
+
+@query
+def dedupe_last_wins(spark, d):
+    li = table(spark, d, "lineitem")
+    return upsert.dedupe(li, ["l_orderkey", "l_linenumber"], [F.col("l_shipdate").desc(), F.col("l_partkey").desc(), F.col("l_suppkey").desc(), F.col("l_extendedprice").desc(), F.col("l_quantity").desc()]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+
+
+def _merge(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    with_hash = lambda x: x.withColumn("row_hash", row_hash("o_orderkey", "amount"))
+    target = with_hash(o.where("o_orderkey % 5 <> 0"))
+    source = with_hash(o.where("o_orderkey % 3 = 0").withColumn("amount", F.when(F.col("o_orderkey") % 2 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(18,2)")))
+    return upsert.merge(target, source, ["o_orderkey"], "row_hash")
+
+
+@query
+def merge_state(spark, d):
+    return _merge(spark, d).drop("_action")
+
+
+@query
+def merge_actions(spark, d):
+    return upsert.actions(_merge(spark, d))
+
+
+@query
+def replace_where(spark, d):
+    dep = deposits(spark, d).select("deposit_id", date_key("deposit_date").alias("date_key"), "amount_usd")
+    inside = F.col("date_key").between(19950101, 19950131)
+    return upsert.replace_range(dep, dep.where(inside & (F.col("deposit_id") % 2 == 0)), inside)
+
+
+@query
+def lsn_gaps(spark, d):
+    return scd2.lsn_gaps(events(spark, d))
+
+
+@query
+def replay_guard(spark, d):
+    e = events(spark, d)
+    return scd2.fresh(e, e.where("lsn % 3 = 0")).select("lsn", "user_id")
+
+
+@query
+def cdc_order(spark, d):
+    """Next commit per key in log order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("lsn")
+    return events(spark, d).select("lsn", "user_id", F.row_number().over(w).alias("seq"), F.lead("commit_ts").over(w).alias("next_commit"))
+
+
+@query
+def scd2_build(spark, d):
+    return _history(spark, d)[0].select(*DIM)
+
+
+@query
+def scd2_current(spark, d):
+    return scd2.current(_history(spark, d)[0]).select("user_id", "band", "note", "source_lsn")
+
+
+@query
+def scd2_tombstones(spark, d):
+    return _history(spark, d)[0].where("is_deleted").select("user_id", "valid_from", "source_lsn")
+
+
+@query
+def scd2_actions(spark, d):
+    return _history(spark, d)[1].groupBy("action_taken").agg(F.count("*").alias("n"))
+
+
+@query
+def scd2_apply_log(spark, d):
+    return _history(spark, d)[1].select("lsn", "user_id", "op", "action_taken")
+
+
+@query
+def scd2_incremental(spark, d):
+    """Half of the log at first, then the rest with late lower lsns: the same history."""
+    e = events(spark, d)
+    first, rest = e.where("lsn % 2 = 0"), e.where("lsn % 2 = 1")
+    dim, log = scd2.build(first, "user_id", ["band"], ["note"])
+    return scd2.apply(dim, first, rest, log, "user_id", ["band"], ["note"])[0].select(*DIM)
+
+
+@query
+def scd2_invariants(spark, d):
+    return scd2.invariants(_history(spark, d)[0], "user_id")
+
+
+@query
+def as_of_join(spark, d):
+    facts = table(spark, d, "events").where("event_type = 'purchase' OR event_id % 7 = 0").select("event_id", "user_id", "ts")
+    return scd2.as_of(facts, _history(spark, d)[0], "user_id", "ts", ["band", "source_lsn"])
+
+
+@query
+def interval_overlap(spark, d):
+    lo, hi = F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    return scd2.overlapping(_history(spark, d)[0], lo, hi).select("user_id", "valid_from", "valid_to", "source_lsn")
+
+
+@query
+def balance_snapshot(spark, d):
+    return star.balance_snapshot(_history(spark, d)[0], "user_id", "2024-01-01", "2024-01-31", ["band", "is_deleted"])
+
+
+@query
+def aum_by_day(spark, d):
+    snap = star.balance_snapshot(_history(spark, d)[0], "user_id", "2024-01-01", "2024-01-31", ["band", "is_deleted"])
+    return snap.where("NOT is_deleted").groupBy("date_key").agg(F.sum("band").alias("total_band"), F.count("*").alias("clients"))
+
+
+@query
+def inferred_members(spark, d):
+    c = clients(spark, d)
+    return star.infer_members(c, deposits(spark, d), "client_id", {"kyc_status": F.lit("unknown")})
+
+
+@query
+def stub_upgrade(spark, d):
+    stubs = star.infer_members(clients(spark, d), deposits(spark, d), "client_id", {"kyc_status": F.lit("unknown")})
+    arrived = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("client_id"), F.lit("approved").alias("kyc_status"))
+    return star.upgrade_stubs(stubs, arrived, "client_id", ["kyc_status"])
+
+
+@query
+def dim_date(spark, d):
+    return star.dim_date(table(spark, d, "orders").select("o_orderdate"), table(spark, d, "lineitem").select("l_shipdate"))
+
+
+@query
+def dim_payment_method(spark, d):
+    return star.dim_low_card(deposits(spark, d), "payment_method", "payment_method_key")
+
+
+@query
+def fact_deposit(spark, d):
+    c = clients(spark, d).select("client_id", surrogate_key(F.col("client_id"), F.lit("1900-01-01")).alias("client_sk"))
+    return star.fact_deposit(dq.split(_checked(spark, d))[0], c)
+
+
+def _trades(spark, d):
+    sizes = spark.createDataFrame([("A", 100), ("N", 10)], "instrument string, contract_size int").withColumn("contract_size", F.col("contract_size").cast("decimal(3,0)"))
+    raw = trades(spark, d)
+    extra = F.when(F.col("l_orderkey") % 31 == 0, F.lit(Decimal("245.00"))).otherwise(F.lit(Decimal("0.00")))
+    derived = star.fact_trade(raw.withColumn("pnl_usd_reported", F.lit(Decimal("0.00"))), sizes).select("trade_id", F.col("pnl_usd_derived").alias("_d"))
+    reported = raw.join(derived, "trade_id").withColumn("pnl_usd_reported", (F.coalesce("_d", F.lit(Decimal("0.00"))) + extra).cast("decimal(18,2)")).drop("_d")
+    return star.fact_trade(reported, sizes)
+
+
+@query
+def fact_trade(spark, d):
+    return _trades(spark, d).select("trade_id", "instrument", "pnl_usd_reported", "pnl_usd_derived", "pnl_variance_usd")
+
+
+@query
+def pnl_control(spark, d):
+    return star.pnl_control(_trades(spark, d)).select("trade_id", "pnl_variance_usd")
+
+
+@query
+def contract_size(spark, d):
+    return star.infer_contract_size(_trades(spark, d).where("instrument <> 'R'").select("instrument", "volume_lots", F.col("open_price").cast("decimal(12,4)").alias("open_price"), F.col("close_price").cast("decimal(12,4)").alias("close_price"), "pnl_usd_reported"))
+
+
+@query
+def fx_normalise(spark, d):
+    rate = F.when(F.col("c_nationkey") % 2 == 0, F.lit(Decimal("1.250000"))).otherwise(F.lit(Decimal("0.910000")))
+    return table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("original"), rate.alias("fx_rate"), star.fx(F.col("c_acctbal").cast("decimal(18,2)"), rate).alias("usd"))
+
+
+@query
+def erase_personal(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return star.erase(c, c.where("c_custkey % 13 = 0"), "c_custkey", ["c_name"])
+
+
+@query
+def partner_view(spark, d):
+    return table(spark, d, "customer").select(masked("c_custkey").alias("client_token"), "c_mktsegment", (F.col("c_custkey") % 50 == 0).alias("is_deleted"), F.lit(AS_OF).cast("date").alias("data_as_of"))
+
+
+@query
+def recon_window(spark, d):
+    return recon.window(_feeds(spark, d)[0])
+
+
+@query
+def recon_tier1(spark, d):
+    return _matched(spark, d)[2]
+
+
+@query
+def recon_tier2(spark, d):
+    return _matched(spark, d)[3]
+
+
+@query
+def recon_breaks(spark, d):
+    v, w, a, b = _matched(spark, d)
+    return recon.breaks(v, w, a.unionByName(b))
+
+
+@query
+def recon_evidence(spark, d):
+    v, w, a, b = _matched(spark, d)
+    m = a.unionByName(b)
+    out = recon.evidence(m, recon.breaks(v, w, m), "run")
+    return out.groupBy("match_tier", "break_type", "run_id").agg(F.count("*").alias("n"))
+
+
+@query
+def recon_summary(spark, d):
+    v, w, a, b = _matched(spark, d)
+    return recon.ageing(recon.breaks(v, w, a.unionByName(b)), _as_of())
+
+
+@query
+def recon_pages(spark, d):
+    v, w, a, b = _matched(spark, d)
+    return recon.pages(recon.breaks(v, w, a.unionByName(b)))
+
+
+@query
+def control_totals(spark, d):
+    return recon.control_totals(deposits(spark, d))
+
+
+@query
+def source_totals(spark, d):
+    return recon.source_totals(deposits(spark, d))
+
+
+@query
+def backfill_affected(spark, d):
+    lo, hi = F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    return backfill.affected(_history(spark, d)[0], "user_id", lo, hi)
+
+
+@query
+def backfill_unwind(spark, d):
+    dim, log = _history(spark, d)
+    return backfill.unwind(dim, log.where("lsn % 5 = 0").select("lsn"), "user_id").select("user_id", "valid_from", "valid_to", "is_current", "source_lsn")
+
+
+@query
+def backfill_delta(spark, d):
+    """Control totals before and after a range is restated."""
+    facts = deposits(spark, d).select("deposit_id", "client_id", date_key("deposit_date").alias("date_key"), "amount_usd")
+    inside = F.col("date_key").between(19950101, 19950331)
+    after = upsert.replace_range(facts, facts.where(inside & (F.col("deposit_id") % 4 != 0)), inside)
+    return backfill.delta(backfill.totals(facts, 19950101, 19950331), backfill.totals(after, 19950101, 19950331))
+
+
+@query
+def top_n_recent(spark, d):
+    return table(spark, d, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(20).select("o_orderkey", "o_orderdate")
+
+
+@query
+def having_dups(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def business_rollup(spark, d):
+    """Net deposits by country and segment."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("client_id"), "n_name", "c_mktsegment")
+    clean = dq.split(_checked(spark, d))[0]
+    return clean.join(c, "client_id").groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n_deposits"), F.sum(F.col("amount_usd") - F.col("fee_usd")).cast("decimal(18,2)").alias("net_amount"))
+
+
+def _velocity(spark, d):
+    e = table(spark, d, "events").select("user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
+    return bronze.velocity(e, "user_id", "ts", "value").withColumn("total", F.col("total").cast("decimal(18,2)"))
+
+
+@query
+def velocity_features(spark, d):
+    return _velocity(spark, d)
+
+
+@query
+def score_divergence(spark, d):
+    scored = bronze.score(_velocity(spark, d))
+    live = scored.withColumn("risk", F.when(F.col("user_id") % 10 == 0, F.col("risk") + 0.5).otherwise(F.col("risk")))
+    return bronze.divergence(scored, live, ["user_id", "window_start"]).select("user_id", "window_start")
