@@ -18,7 +18,6 @@ so what a third of all documents share arrives once for each batch.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, materialise
+from .common import bounded_batches, map_arrow, materialise, release
 
 LENGTH = 50
 GRAM = 20
@@ -36,7 +35,9 @@ SHARD = 1 << 16
 BUCKET_BYTES = 6 << 20
 #: Anchors with more contexts than this are split further, by the strings themselves.
 HOT = 4000
+STEP = 8
 U = np.uint64
+LOW_BYTES = U((1 << 40) - 1)
 _RNG = np.random.default_rng(20)
 _TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -104,17 +105,34 @@ def _first_of(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray
 
 ANCHORS = "bucket int, hash binary, context binary, doc binary, row binary, place binary"
 MARKS = "_d long, _t long, place int, upto int, hash long, kind int"
-COVER, REST = 0, 1
+COVER, REST, RUN = 0, 1, 2
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each entry, byte by byte: what entries have in common compresses."""
+    return x.view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
+
+
+def _entries(data: bytes, kind, width: int) -> np.ndarray:
+    n = len(data) // width
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.view(kind).reshape(n)
+
+
+#: Columns of packed anchors and the bytes kept of each. Five bytes of an anchor's hash are enough,
+#: as equal ones only bring contexts together, and those are told apart by all eight of theirs.
+PACKED = {"hash": (U, 5), "context": (U, 8), "doc": (np.int64, 8), "row": (np.int64, 5), "place": (np.int32, 4)}
 
 
 def _emit(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket with its entries packed."""
-    order = np.argsort(bucket, kind="stable")
+    """One row per bucket with its entries packed, in order of document and place."""
+    order = np.lexsort((columns[4], columns[2], bucket))
     bucket = bucket[order]
-    cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1]) if len(bucket) else np.array([], int)
-    ends = np.append(cuts[1:], len(bucket)) if len(cuts) else cuts
-    packed = [[c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)] for c in (c[order] for c in columns)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts] if len(cuts) else [], pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "hash", "context", "doc", "row", "place"])
+    cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1])
+    ends = np.append(cuts[1:], len(bucket))
+    packed = [[_planes(c[a:b], w) for a, b in zip(cuts, ends, strict=True)] for c, (_, w) in zip((c[order] for c in columns), PACKED.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", *PACKED])
 
 
 def _find(buckets: int):
@@ -133,6 +151,8 @@ def _find(buckets: int):
             grams, context, doc, row, place = (c[order] for c in (grams, context, doc, row, place))
             covered = doc > first
             # Covered entries go on with no hash to where their document's hash sends them.
+            grams &= LOW_BYTES
+            grams[grams == 0] = 1
             grams[covered] = 0
             bucket = np.where(covered, (_mix(doc.astype(U)) % U(buckets)), _mix(grams) % U(buckets)).astype(np.int32)
             yield _emit(bucket, [grams, context, doc, row, place])
@@ -163,9 +183,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"hash": U, "context": U, "doc": np.int64, "row": np.int64, "place": np.int32}
     for rows in _by_bucket(batches):
-        grams, context, doc, row, place = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in kinds.items())
+        grams, context, doc, row, place = (np.concatenate([_entries(r[c], k, w) for r in rows]) for c, (k, w) in PACKED.items())
         done = grams == 0
         yield _marks(doc[done], row[done], place[done], 0, grams[done], COVER)
         grams, context, doc, row, place = (c[~done] for c in (grams, context, doc, row, place))
@@ -275,58 +294,85 @@ def covered_starts(pieces: list[bytes], docs: np.ndarray, depth: int = LENGTH) -
     return piece[doc > least], offset[doc > least]
 
 
-def _likely(pieces: list[bytes], places: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Pieces of which the string around the anchor goes on far enough, to the left or right, in another document.
+def _likely(pieces: list[bytes], places: list[int], docs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(piece, low, high) of the stretches that can hold a string that another document's piece holds.
 
-    A string of LENGTH bytes holds its anchor and, on one side, half of the bytes that are left.
+    The strings of a piece stand at up to SPAN places before its anchor. Those of STEP neighbouring
+    places have LENGTH - STEP + 1 bytes in common, which another document must hold at the same
+    distance from its anchor.
     """
-    more = (LENGTH - GRAM) // 2
-    keep = np.zeros(len(pieces), bool)
-    for side in (0, 1):
-        cut = [p[a - more : a + GRAM] if side == 0 and a >= more else p[a : a + GRAM + more] if side and a + GRAM + more <= len(p) else b"" for p, a in zip(pieces, places.tolist(), strict=True)]
-        keys = np.array([hash(c) if c else 0 for c in cut], np.int64)
-        order = np.lexsort((docs, keys))
-        k, d = keys[order], docs[order]
-        cuts = np.concatenate([[0], np.nonzero(np.diff(k))[0] + 1])
-        sizes = np.diff(np.append(cuts, len(k)))
-        several = np.repeat(np.maximum.reduceat(d, cuts) > np.minimum.reduceat(d, cuts), sizes) & (k != 0)
-        keep[order[several]] = True
-    return keep
-
-
-def _merge_bucket(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    pieces = [r["piece"] for r in rows]
-    docs, texts, low = (np.array([r[c] for r in rows], np.int64) for c in ("_d", "_t", "low"))
-    keep = np.nonzero(_likely(pieces, np.array([r["at"] for r in rows]), docs))[0]
-    if not len(keep):
+    owner, group, keys = [], [], []
+    core = LENGTH - STEP + 1
+    for k, (piece, at) in enumerate(zip(pieces, places, strict=True)):
+        n = len(piece)
+        for g in range((SPAN + STEP - 1) // STEP):
+            a = at - g * STEP
+            if a >= 0 and a - STEP + 1 <= n - LENGTH:
+                owner.append(k)
+                group.append(g)
+                keys.append(hash((g, piece[a : a + core])))
+    if not keys:
+        return []
+    owners, keys_, doc = np.array(owner), np.array(keys, np.int64), docs[owner]
+    order = np.argsort(keys_, kind="stable")
+    k, d = keys_[order], doc[order]
+    cuts = np.concatenate([[0], np.nonzero(np.diff(k))[0] + 1])
+    several = np.maximum.reduceat(d, cuts) > np.minimum.reduceat(d, cuts)
+    keep = np.sort(order[np.repeat(several, np.diff(np.append(cuts, len(k))))])
+    out: list[tuple[int, int, int]] = []
+    for i in keep.tolist():
+        k, a = int(owners[i]), places[owner[i]] - group[i] * STEP
+        low, high = max(0, a - STEP + 1), min(a + LENGTH, len(pieces[k]))
+        if out and out[-1][0] == k and out[-1][1] == low + STEP:
+            out[-1] = (k, low, out[-1][2])
+        elif out and out[-1][0] == k and group[i] and out[-1][1] <= low + STEP:
+            out[-1] = (k, low, max(high, out[-1][2]))
+        else:
+            out.append((k, low, high))
+    return out
+
+
+def _merge_bucket(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    pieces, places = rows["piece"].to_pylist(), rows["at"].to_pylist()
+    docs, texts, base = (rows[c].to_numpy().astype(np.int64) for c in ("_d", "_t", "low"))
+    parts = _likely(pieces, places, docs)
+    if not parts:
         return
-    piece, offset = covered_starts([pieces[k] for k in keep], docs[keep])
+    own = np.array([k for k, _, _ in parts])
+    low = base[own] + np.array([a for _, a, _ in parts])
+    piece, offset = covered_starts([pieces[k][a:b] for k, a, b in parts], docs[own])
     if not len(piece):
         return
     order = np.lexsort((offset, piece))
-    piece, offset = keep[piece[order]], offset[order]
+    piece, offset = piece[order], offset[order]
     # Runs of neighbouring starts are one cover.
     new = np.ones(len(piece), bool)
     new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
     a = np.nonzero(new)[0]
     b = np.append(a[1:], len(piece)) - 1
-    yield _marks(docs[piece[a]], texts[piece[a]], (low[piece[a]] + offset[a]).astype(np.int32), (low[piece[b]] + offset[b] + LENGTH).astype(np.int32), np.zeros(len(a), np.int64), COVER + 2)
+    yield _marks(docs[own[piece[a]]], texts[own[piece[a]]], (low[piece[a]] + offset[a]).astype(np.int32), (low[piece[b]] + offset[b] + LENGTH).astype(np.int32), np.zeros(len(a), np.int64), RUN)
 
 
 def _merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_bucket(batches):
-        yield from _merge_bucket(rows)
-
-
-def _release(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        # Batches are cut where the bucket changes.
+        bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if held and held[-1].column("bucket")[0] != part.column("bucket")[0]:
+                yield from _merge_bucket(pa.Table.from_batches(held))
+                held = []
+            if len(part):
+                held.append(part)
+    if held:
+        yield from _merge_bucket(pa.Table.from_batches(held))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(text).alias("_t"), text.alias("_text"))
+    return docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(text).bitwiseAND(F.lit((1 << 40) - 1)).alias("_t"), text.alias("_text"))
 
 
 def find_covers(docs: DataFrame) -> DataFrame:
@@ -336,9 +382,8 @@ def find_covers(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs).drop("doc_id")
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
-    dealt = map_arrow(rows, _find(buckets), ANCHORS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    marks = materialise(dealt.mapInArrow(_resolve, MARKS))
-    _release(docs)
+    marks = materialise(map_arrow(rows, _find(buckets), ANCHORS).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, MARKS))
+    release(spark)
     rest = marks.where(F.col("kind") == REST)
     hot = materialise(rest.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.lit(True).alias("_hot")))
     rest = rest.join(hot, "hash", "left")
@@ -350,42 +395,41 @@ def find_covers(docs: DataFrame) -> DataFrame:
         .select("_d", "_t", F.col("_r.hash").alias("hash"), F.col("_r.hot").alias("hot"), low.alias("low"), (F.col("_r.place") - low).alias("at"), F.expr("substring(_b, greatest(_r.place - %d, 0) + 1, least(_r.place, %d) + %d)" % (SPAN - 1, SPAN - 1, LENGTH)).alias("piece"))
         .dropDuplicates(["_d", "_t", "low", "at"])
     )
-    _release(docs)
+    del found, wanted, rest, hot
+    release(spark)
     cold = pieces.where(~F.col("hot")).drop("hot").withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int"))
     merged = cold.repartition(buckets, "bucket").sortWithinPartitions("bucket", "hash").mapInArrow(_merge_all, MARKS)
     # Strings of hot anchors are dealt by themselves; the least document of each is a partial minimum.
     starts = F.sequence(F.lit(0), F.length("piece") - LENGTH)
     strings = pieces.where(F.col("hot") & (F.length("piece") >= LENGTH)).select("_d", "_t", "low", "piece", F.explode(starts).alias("_o")).select("_d", "_t", (F.col("low") + F.col("_o")).alias("place"), F.expr(f"substring(piece, _o + 1, {LENGTH})").alias("_s"))
     least = strings.groupBy("_s").agg(F.min("_d").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    split = strings.join(least, "_s").where("_d > _least").select("_d", "_t", "place", (F.col("place") + LENGTH).alias("upto"), F.lit(0).cast("long").alias("hash"), F.lit(COVER + 2).alias("kind"))
+    split = strings.join(least, "_s").where("_d > _least").select("_d", "_t", "place", (F.col("place") + LENGTH).alias("upto"), F.lit(0).cast("long").alias("hash"), F.lit(RUN).alias("kind"))
     more = materialise(merged.unionAll(split))
-    _release(docs)
+    del cold, merged, strings, least, split
+    release(spark)
     return marks.where(F.col("kind") == COVER).unionAll(more).select("_d", "_t", "place", "upto", "kind")
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(data: bytes, covers: list[dict]) -> tuple[list[bytes], int, int]:
+def _cut(data: bytes, place: np.ndarray, upto: np.ndarray, kind: np.ndarray) -> tuple[list[bytes], int, int]:
     """What is left of a text, the bytes removed and the number of runs that they form."""
     n = len(data)
-    if not covers:
+    if not len(place):
         return [data], 0, 0
-    place = np.array([c["place"] for c in covers])
-    whole = np.array([c["kind"] for c in covers]) == COVER
+    whole = kind == COVER
     low = np.where(whole, np.maximum(place - SPAN + 1, 0), place)
-    high = np.where(whole, np.minimum(place + LENGTH, n), [c["upto"] for c in covers])
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, low, 1)
-    np.add.at(edge, high, -1)
-    gone = np.cumsum(edge[:n]) > 0
-    change = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-    begin, end = np.nonzero(change == 1)[0], np.nonzero(change == -1)[0]
+    high = np.where(whole, np.minimum(place + LENGTH, n), upto)
+    order = np.argsort(low)
+    low, high = low[order], np.maximum.accumulate(high[order])
+    first = np.concatenate([[True], low[1:] > high[:-1]])
+    begin, end = low[first], high[np.append(np.nonzero(first)[0][1:] - 1, len(low) - 1)]
     kept, at = [], 0
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
         kept.append(data[at:a])
         at = b
-    return [*kept, data[at:]], int(gone.sum()), len(begin)
+    return [*kept, data[at:]], int((end - begin).sum()), len(begin)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -395,15 +439,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     each other, as none is smaller; repeated rows give repeated rows. Texts shorter than LENGTH bytes
     stay as they are; an empty table gives an empty one; other columns are left out.
     """
-    covers = find_covers(docs).groupBy("_d", "_t").agg(F.collect_list(F.struct("place", "upto", "kind")).alias("_covers"))
-    rows = _keyed(docs).join(covers, ["_d", "_t"], "left").select("doc_id", "_text", "_covers")
+    covers = find_covers(docs).groupBy("_d", "_t").agg(F.collect_list(F.struct(F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("upto", F.lit(0)).alias("upto"), F.coalesce("kind", F.lit(0)).alias("kind"))).alias("_covers"))
+    rows = _keyed(docs).join(covers, ["_d", "_t"], "left").select("doc_id", "_text", F.coalesce("_covers", F.array().cast("array<struct<place:int,upto:int,kind:int>>")).alias("_covers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for text, found in zip(batch.column("_text").to_pylist(), batch.column("_covers").to_pylist(), strict=True):
+            lists = batch.column("_covers")
+            place, upto, kind = (f.to_numpy(zero_copy_only=False) for f in lists.values.flatten())
+            cuts = lists.offsets.to_numpy()
+            for text, a, b in zip(batch.column("_text").to_pylist(), cuts, cuts[1:], strict=False):
                 data = text.encode()
-                kept, removed, spans = _cut(data, found or [])
+                kept, removed, spans = _cut(data, place[a:b], upto[a:b], kind[a:b])
                 left = b"".join(kept)
                 for column, value in zip(out, (len(data), removed, spans, hashlib.sha256(left).hexdigest(), left), strict=True):
                     column.append(value)
