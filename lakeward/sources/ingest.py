@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.contract import Contract, assert_known, normalise
 
-LAG_FILES = ("_source_file",)
+
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
