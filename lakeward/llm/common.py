@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 MAX_ROUNDS = 60
+HOT_GROUPS = 100_000
+HOT_LEAST = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -54,6 +56,21 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with one row per key of ``groups``, whose column ``size`` says how many rows hold the key.
+
+    A key that holds more than one in HOT_GROUPS rows, and HOT_LEAST at least, would meet in one
+    task. There are at most HOT_GROUPS such keys, so they are broadcast and their rows stay where
+    they are; all other rows are dealt by key. Both inputs are read twice, so give written tables.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > max(HOT_LEAST, total // HOT_GROUPS))
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    common = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys)
+    return common.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

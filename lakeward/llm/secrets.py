@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import join_hot, map_arrow, materialise
 
 # The base kinds, in the order in which spans that start together are listed.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -102,7 +102,7 @@ def scan_documents(docs: DataFrame, owner: Column, repository: Column, copied_ow
     spec = f"doc_id {kind}, _owner string, _repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, _found array<struct<hash:string,bits:double>>"
     rows = materialise(map_arrow(rows, _find, spec).withColumn("_row", F.monotonically_increasing_id()))
     found = rows.where(F.size("_found") > 0).select("_row", "_owner", "_repo", F.explode("_found").alias("f")).select("_row", "_owner", "_repo", "f.hash", "f.bits")
-    verdict = found.join(ownership(found), "hash")
+    verdict = join_hot(found, materialise(ownership(found)), ["hash"], "n_docs")
     copied = F.col("n_owners") >= copied_owners
     by_row = verdict.groupBy("_row").agg(
         F.count("*").alias("n_values"),

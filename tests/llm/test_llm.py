@@ -13,7 +13,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeward.llm import bpe, bwtdedup, chat, decontaminate, linededup, quality, secrets, simhash, tokencount, toxicity
+from lakeward.llm import bpe, bwtdedup, chat, common, decontaminate, linededup, quality, secrets, simhash, tokencount, toxicity
 
 RANKS = bpe.Ranks.load(P.path("byte_bpe_50k.tiktoken"))
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS.ids, special_tokens={})
@@ -165,7 +165,19 @@ def test_simhash_links_equal_brute_force(spark):
         assert all(got.get(p, p) == find(p) for p in prints)
 
 
-def test_line_dedup_equals_brute_force(spark):
+def test_join_hot_equals_join(spark, monkeypatch):
+    rows = common.materialise(spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) AS k"))
+    groups = common.materialise(rows.groupBy("k").count().where("count > 1"))
+    want = sorted(map(tuple, rows.join(groups, ["k"]).collect()))
+    for least in (5000, 100, 0):
+        monkeypatch.setattr(common, "HOT_LEAST", least)
+        assert sorted(map(tuple, common.join_hot(rows, groups, ["k"], "count").collect())) == want
+    assert common.join_hot(rows.limit(0), common.materialise(groups.limit(0)), ["k"], "count").collect() == []
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
     rnd = random.Random(6)
     lines = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(4, 8))) for _ in range(40)]
     docs = [(i, "\n".join(rnd.choice(lines) if rnd.random() < 0.6 else " ".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(6))) for i in range(40)]
