@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, materialise
+from .common import components, join_hot, map_arrow, materialise
 
 BITS = 64
 SEGMENT = 2
@@ -119,12 +119,12 @@ def near_duplicates(docs: DataFrame, distance: int = 2, groups: int = 5) -> Data
     an empty table an empty one; other columns are left out.
     """
     rows = materialise(fingerprints(docs))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = materialise(distinct)
     roots = components(links(nodes.select("fp"), distance, groups))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    named = materialise(joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "copies", "component_id"))
+    return join_hot(rows, named, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 2, groups: int = 5) -> DataFrame:
