@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,17 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def shingle_hashes(text: str, size: int = 3, seed: int = 42) -> list[int]:
+    """XXH64 of each run of ``size`` words, A-Z in lower case, joined by blanks; fewer words make one run."""
+    words = text.encode().lower().split()
+    if not words:
+        return []
+    digest = xxhash.xxh64_intdigest
+    if len(words) < size:
+        return [digest(b" ".join(words), seed)]
+    return [digest(b" ".join(run), seed) for run in zip(*(words[i:] for i in range(size)), strict=False)]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links between longs, as (node, root) with root the smallest node.
 

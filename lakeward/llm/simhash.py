@@ -15,11 +15,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, map_arrow, materialise
+from .common import components, join_hot, map_arrow, materialise, shingle_hashes
+from .shingles import similar
 
 BITS = 64
 SEGMENT = 2
@@ -33,17 +33,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingle_hashes(text: str, size: int = 3, seed: int = 42) -> list[int]:
-    """XXH64 of each run of ``size`` words, A-Z in lower case, joined by blanks; fewer words make one run."""
-    words = text.encode().lower().split()
-    if not words:
-        return []
-    digest = xxhash.xxh64_intdigest
-    if len(words) < size:
-        return [digest(b" ".join(words), seed)]
-    return [digest(b" ".join(run), seed) for run in zip(*(words[i:] for i in range(size)), strict=False)]
-
-
 def fingerprint(hashes: list[int]) -> int:
     """Bit set where over half of the hashes have it; 0 of none."""
     counts = np.zeros(BITS, np.int64)
@@ -127,10 +116,12 @@ def near_duplicates(docs: DataFrame, distance: int = 2, groups: int = 5) -> Data
     return join_hot(rows, named, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 2, groups: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component: one document of each group of near copies.
 
-    Rows with a null doc_id, or with the doc_id that stays, all stay.
+    Near copies are texts whose sets of runs of ``size`` words have a Jaccard similarity of
+    ``share`` or more, see ``shingles.similar``. Rows with a null doc_id, or with the doc_id that
+    stays, all stay.
     """
-    gone = near_duplicates(docs, distance, groups).where("doc_id <> component_id").select("doc_id")
+    gone = similar(docs, size, share).where("doc_id <> component_id").select("doc_id")
     return docs.join(materialise(gone), "doc_id", "left_anti").select(*docs.columns)

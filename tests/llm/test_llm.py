@@ -165,6 +165,34 @@ def test_simhash_links_equal_brute_force(spark):
         assert all(got.get(p, p) == find(p) for p in prints)
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, hot):
+    from lakeward.llm import shingles
+
+    monkeypatch.setattr(shingles, "HOT_TOKEN", hot)
+    monkeypatch.setattr(shingles, "COMMON_LEAST", 4)
+    rnd = random.Random(12)
+    base = [[f"w{rnd.randrange(2000)}" for _ in range(rnd.randint(30, 150))] for _ in range(12)]
+    tail = [f"t{k}" for k in range(25)]
+    texts = [" ".join(b + tail) for b in base] + ["", " ", "one two", "One  two", None]
+    for _ in range(70):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 4)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(w + tail))
+    sets = [set(common.shingle_hashes(t or "", 5)) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both * 5 >= either * 4 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+    assert len(set(root)) < len(texts) - 40
+
+
 def test_join_hot_equals_join(spark, monkeypatch):
     rows = common.materialise(spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) AS k"))
     groups = common.materialise(rows.groupBy("k").count().where("count > 1"))
