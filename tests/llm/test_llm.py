@@ -228,6 +228,41 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == want
 
 
+def test_line_dedup_bound_grows_with_the_line(spark):
+    rnd = random.Random(13)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    base = [[f"w{rnd.randrange(40)}" for _ in range(rnd.choice([8, 9, 10, 12, 15, 20, 41, 90]))] for _ in range(25)]
+    docs, seen, want, many = [], [], {}, 0
+    for i in range(45):
+        lines = []
+        for _ in range(4):
+            w = list(rnd.choice(base))
+            for _ in range(rnd.randint(0, len(w) // 4)):
+                at, kind = rnd.randrange(len(w)), rnd.randrange(3)
+                w[at : at + (kind > 0)] = [f"n{rnd.randrange(60)}"] * (kind < 2)
+            lines.append(w)
+        docs.append((i, "\n".join(map(" ".join, lines))))
+        kept = []
+        for w in lines:
+            far = [distance(w, x) for x in seen if 5 * distance(w, x) <= max(len(w), len(x))] if len(w) >= 5 else []
+            many += bool(far) and min(far) > 1
+            if not far:
+                kept.append(" ".join(w))
+            if len(w) >= 5:
+                seen.append(w)
+        want[i] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and many > 20
+
+
 def test_merged_transforms_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(100):
