@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 MAX_ROUNDS = 60
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 HOT_GROUPS = 100_000
 HOT_LEAST = 1000
 
@@ -33,28 +32,40 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
+    """The shared folder that spark.checkpoint.dir names. Only a local session, as in tests, may have none and gets one of its own."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lakeward-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written as Parquet to the shared checkpoint folder and read again."""
+    """Cuts the lineage: the rows are written as Parquet to the shared checkpoint folder and read again.
+
+    The shuffle files of the plan that is written go as soon as the table stands.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that no plan still to be run reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
