@@ -34,9 +34,10 @@ def date_key(day: str | Column) -> Column:
     return F.date_format(col(day), "yyyyMMdd").cast("int")
 
 
-def masked(name: str | Column) -> Column:
-    """A stable token in place of a personal value."""
-    return F.sha2(F.coalesce(col(name).cast("string"), F.lit("")), 256)
+def masked(name: str | Column, key: str) -> Column:
+    """A stable token in place of a personal value; without the secret key small numbers can't be tried out."""
+    inner = F.sha2(F.concat(F.lit(key), F.lit("|"), F.coalesce(col(name).cast("string"), F.lit(""))), 256)
+    return F.sha2(F.concat(F.lit(key), F.lit("|"), inner), 256)
 
 
 def net(amount: str, fee: str) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import OPEN_END
-from .scd2 import overlapping
+from .scd2 import apply, build, overlapping
 
 
 def affected(dim: DataFrame, key: str, low: Column, high: Column) -> DataFrame:
@@ -24,11 +23,25 @@ def rewind(log: DataFrame, low: Column, high: Column) -> tuple[DataFrame, DataFr
     return log.where(~inside), log.where(inside).select("lsn")
 
 
-def unwind(dim: DataFrame, lsns: DataFrame, key: str) -> DataFrame:
-    """History without the versions of those lsns, each gap closed and the last version open again."""
-    left = dim.join(lsns.select(F.col("lsn").alias("source_lsn")), "source_lsn", "left_anti")
-    following = F.lead("valid_from").over(Window.partitionBy(key).orderBy("source_lsn"))
-    return left.withColumn("valid_to", F.coalesce(following, F.to_timestamp(F.lit(OPEN_END)).cast("timestamp_ntz"))).withColumn("is_current", following.isNull())
+def unwind(dim: DataFrame, history: DataFrame, log: DataFrame, lsns: DataFrame, key: str, tracked: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(dimension, log) as if the events of those lsns had never come.
+
+    Keys that they touch are rebuilt from their other events: later versions lose what they carried
+    from an unwound one, and what was a no-op because of one becomes a version.
+    """
+    out = history.join(lsns, "lsn", "left_semi").select(key).distinct()
+    events = history.join(out, key, "left_semi").join(lsns, "lsn", "left_anti")
+    rebuilt, again = build(events, key, tracked, carried)
+    return dim.join(out, key, "left_anti").unionByName(rebuilt), log.join(out, key, "left_anti").unionByName(again)
+
+
+def restate(dim: DataFrame, history: DataFrame, log: DataFrame, corrected: DataFrame, low: Column, high: Column, key: str, tracked: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A window of the log replayed with corrected events: rewind, unwind, replay, in one flow."""
+    _, lsns = rewind(log, low, high)
+    lsns = lsns.unionByName(corrected.select("lsn")).distinct()
+    left, rest = unwind(dim, history, log, lsns, key, tracked, carried)
+    kept = history.join(lsns, "lsn", "left_anti")
+    return apply(left, kept, corrected, rest, key, tracked, carried)
 
 
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:

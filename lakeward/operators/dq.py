@@ -67,9 +67,9 @@ def new_only(held: DataFrame, open_rows: DataFrame, key: str) -> DataFrame:
 
 
 def release(open_rows: DataFrame, clean_now: DataFrame, key: str, as_of: Column) -> DataFrame:
-    """Sets resolved_at where the row passes every QUARANTINE rule now."""
+    """Sets resolved_at where the row passes every QUARANTINE rule now; an earlier one stays."""
     now = clean_now.select(key).distinct().withColumn("_ok", F.lit(True))
-    return open_rows.join(now, key, "left").withColumn("resolved_at", F.when(F.col("_ok"), as_of).otherwise(F.col("resolved_at"))).drop("_ok")
+    return open_rows.join(now, key, "left").withColumn("resolved_at", F.coalesce("resolved_at", F.when(F.col("_ok"), as_of))).drop("_ok")
 
 
 def age(open_rows: DataFrame, since: str, as_of: Column, days: int = 7) -> DataFrame:

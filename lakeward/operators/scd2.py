@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import OPEN_END, OPEN_START, row_hash, surrogate_key
+from .control import sequence_gaps
 
 
 def fresh(events: DataFrame, log: DataFrame | None) -> DataFrame:
@@ -13,13 +14,6 @@ def fresh(events: DataFrame, log: DataFrame | None) -> DataFrame:
     return events if log is None else events.join(log.select("lsn"), "lsn", "left_anti")
 
 
-def latest_per_time(events: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(events, superseded): of equal key and commit_ts the highest lsn stays."""
-    w = Window.partitionBy(key, "commit_ts").orderBy(F.col("lsn").desc())
-    ranked = events.withColumn("_rn", F.row_number().over(w))
-    return ranked.where("_rn = 1").drop("_rn"), ranked.where("_rn > 1").drop("_rn")
-
-
 def seed(snapshot: DataFrame, key: str, tracked: list[str], carried: list[str]) -> DataFrame:
     """A snapshot's rows as events that open the history."""
     return snapshot.select(F.lit(0).cast("long").alias("lsn"), key, F.to_timestamp(F.lit(OPEN_START)).cast("timestamp_ntz").alias("commit_ts"), F.lit("seed").alias("op"), *tracked, *carried)
@@ -45,14 +39,19 @@ def build(events: DataFrame, key: str, tracked: list[str], carried: list[str]) -
     """(dimension, apply log) from all events of the keys, in any order of arrival.
 
     Tracked attributes make versions; carried ones ride along, and what a no-op carries is dropped.
+    Events are applied in order of lsn; of a key's versions with one commit_ts only the last stays,
+    with what the others brought, as the others were never valid for any time.
     A key's rows are one window group: a hot key is one sorted, spillable group.
     """
-    used, superseded = latest_per_time(events, key)
-    done = actions(used, key, tracked)
-    kept = done.where(F.col("action_taken").isin("new_version", "soft_delete_tombstone"))
+    done = actions(events, key, tracked)
     w = Window.partitionBy(key).orderBy("lsn")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = kept.select(*(F.last(c, ignorenulls=True).over(upto).alias(c) if c in carried else F.col(c) for c in kept.columns))
+    version = F.col("action_taken").isin("new_version", "soft_delete_tombstone")
+    upto = Window.partitionBy(key, "_version").orderBy("lsn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = done.withColumn("_version", version)
+    done = done.select(*(F.last(c, ignorenulls=True).over(upto).alias(c) if c in carried else F.col(c) for c in done.columns))
+    superseded = F.col("_version") & (F.lead("commit_ts").over(Window.partitionBy(key, "_version").orderBy("commit_ts", "lsn")) == F.col("commit_ts"))
+    done = done.withColumn("action_taken", F.when(superseded, "superseded_same_ts").otherwise(F.col("action_taken")))
+    kept = done.where(version).drop("_version")
     following = F.lead("commit_ts").over(w)
     dim = kept.select(
         surrogate_key(key, "commit_ts").alias("sk"),
@@ -67,8 +66,7 @@ def build(events: DataFrame, key: str, tracked: list[str], carried: list[str]) -
         F.col("op").alias("source_op"),
         "record_hash",
     )
-    log = done.select("lsn", key, "op", "commit_ts", "action_taken").unionByName(superseded.select("lsn", key, "op", "commit_ts", F.lit("superseded_same_ts").alias("action_taken")))
-    return dim, log
+    return dim, done.select("lsn", key, "op", "commit_ts", "action_taken")
 
 
 def apply(dim: DataFrame, history: DataFrame, batch: DataFrame, log: DataFrame, key: str, tracked: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -86,10 +84,20 @@ def current(dim: DataFrame) -> DataFrame:
 
 
 def as_of(facts: DataFrame, dim: DataFrame, key: str, at: str, keep: list[str]) -> DataFrame:
-    """Each fact with the version valid at its time: an equality on the key with a range on top."""
-    versions = dim.select(F.col(key).alias("_k"), "valid_from", "valid_to", *keep)
-    on = (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("valid_from")) & (F.col(at) < F.col("valid_to"))
-    return facts.join(versions, on, "left").drop("_k", "valid_from", "valid_to")
+    """Each fact with the version valid at its time.
+
+    Facts and versions of a key run through one sorted window, each fact taking the last version
+    before it, so a hot key costs its facts plus its versions and not their product. Versions of a
+    key must not overlap. A null key or time finds none.
+    """
+    version = F.struct("valid_from", "valid_to", *keep)
+    given = facts.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*facts.columns).alias("_fact"))
+    found = dim.select(F.col(key).alias("_k"), F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"), version.alias("_version"))
+    both = given.unionByName(found, allowMissingColumns=True)
+    upto = Window.partitionBy("_k").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.withColumn("_version", F.last("_version", ignorenulls=True).over(upto)).where("_kind = 1")
+    valid = F.col("_k").isNotNull() & (F.col("_at") < F.col("_version.valid_to"))
+    return last.select("_fact.*", *(F.when(valid, F.col("_version").getField(c)).alias(c) for c in keep))
 
 
 def overlapping(dim: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -98,13 +106,8 @@ def overlapping(dim: DataFrame, low: Column, high: Column) -> DataFrame:
 
 
 def lsn_gaps(events: DataFrame) -> DataFrame:
-    """Missing numbers between neighbouring lsns. Neighbours meet per range of numbers, not in one task."""
-    width = 1 << 16
-    own = events.select("lsn", F.floor(F.col("lsn") / width).alias("_r")).distinct()
-    inner = own.withColumn("_next", F.lead("lsn").over(Window.partitionBy("_r").orderBy("lsn"))).where("_next > lsn + 1").select("lsn", "_next")
-    ends = own.groupBy("_r").agg(F.min("lsn").alias("_lo"), F.max("lsn").alias("_hi"))
-    border = ends.select(F.col("_hi").alias("lsn"), F.lead("_lo").over(Window.orderBy("_r")).alias("_next")).where("_next > lsn + 1")
-    return inner.unionByName(border).select(F.explode(F.sequence(F.col("lsn") + 1, F.col("_next") - 1)).alias("missing_lsn"))
+    """Ranges of missing numbers, as the lsns (after, before) that stand around each."""
+    return sequence_gaps(events, F.col("lsn"))
 
 
 def invariants(dim: DataFrame, key: str) -> DataFrame:

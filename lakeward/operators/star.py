@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import date_key, net, surrogate_key
@@ -14,7 +14,19 @@ def dim_date(*days: DataFrame) -> DataFrame:
     for d in days[1:]:
         found = found.union(d.select(F.col(d.columns[0]).cast("date")))
     found = found.where("full_date is not null").distinct()
-    return found.select(date_key("full_date").alias("date_key"), "full_date", F.year("full_date").alias("year"), F.quarter("full_date").alias("quarter"), F.month("full_date").alias("month"), F.dayofmonth("full_date").alias("day"), F.date_format("full_date", "MMMM").alias("month_name"), F.dayofweek("full_date").isin(1, 7).alias("is_weekend"))
+    return found.select(date_key("full_date").alias("date_key"), "full_date", F.year("full_date").alias("year"), F.quarter("full_date").alias("quarter"), F.month("full_date").alias("month"), F.dayofmonth("full_date").alias("day"), F.date_format("full_date", "MMMM").alias("month_name"), F.dayofweek("full_date").alias("day_of_week"), F.dayofweek("full_date").isin(1, 7).alias("is_weekend"))
+
+
+def dim_instrument(spark: SparkSession, rows: list[tuple[str, str, int]]) -> DataFrame:
+    """The static instruments, given as (instrument, asset class, contract size)."""
+    made = spark.createDataFrame(rows, "instrument string, asset_class string, contract_size int")
+    return made.select(surrogate_key("instrument").alias("instrument_key"), "instrument", "asset_class", F.col("contract_size").cast("decimal(9,0)").alias("contract_size"))
+
+
+def stub_age(stubs: DataFrame, since: str, as_of: Column, days: int = 7) -> DataFrame:
+    """Members still inferred after ``days`` are to be chased at their source."""
+    old = F.datediff(as_of, F.col(since))
+    return stubs.where("is_inferred").withColumn("age_days", old).withColumn("stale", old > days)
 
 
 def dim_low_card(df: DataFrame, name: str, key_name: str) -> DataFrame:
@@ -43,12 +55,25 @@ def fact_deposit(deposits: DataFrame, clients: DataFrame) -> DataFrame:
 
 
 def fact_trade(trades: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Derived PnL beside the reported one, which never changes; an unknown instrument derives null."""
+    """Trades with their keys and the derived PnL beside the reported one, which never changes; an unknown instrument derives null.
+
+    Takes trades with client_sk (bound to the client's current version) and trade_date.
+    """
+    joined = trades.join(instruments.select("instrument", "instrument_key", "contract_size"), "instrument", "left")
+    joined = joined.withColumn("pnl_usd_derived", derived_pnl())
+    joined = joined.withColumn("pnl_variance_usd", (F.col("pnl_usd_reported") - F.col("pnl_usd_derived")).cast("decimal(18,2)"))
+    return joined.withColumn("trade_sk", surrogate_key("trade_id")).withColumn("date_key", date_key("trade_date"))
+
+
+def derived_pnl() -> Column:
     sign = F.when(F.col("direction") == "buy", F.lit(1)).otherwise(F.lit(-1))
-    derived = F.round((F.col("close_price") - F.col("open_price")) * F.col("contract_size") * F.col("volume_lots"), 2) * sign
-    joined = trades.join(instruments.select("instrument", "contract_size"), "instrument", "left")
-    joined = joined.withColumn("pnl_usd_derived", derived.cast("decimal(18,2)"))
-    return joined.withColumn("pnl_variance_usd", (F.col("pnl_usd_reported") - F.col("pnl_usd_derived")).cast("decimal(18,2)"))
+    return (F.round((F.col("close_price") - F.col("open_price")) * F.col("contract_size") * F.col("volume_lots"), 2) * sign).cast("decimal(18,2)")
+
+
+def bind_current(facts: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
+    """Facts with the surrogate key of their member's current version, null where there is none."""
+    versions = dim.where("is_current AND NOT is_deleted").select(F.col(key).alias("_k"), F.col("sk").alias(name))
+    return facts.join(versions, F.col(key) == F.col("_k"), "left").drop("_k")
 
 
 def pnl_control(trades: DataFrame) -> DataFrame:

@@ -12,12 +12,18 @@ from ..functions.columns import date_key, masked, row_hash, surrogate_key, typed
 from ..operators import backfill, contract, control, dq, recon, scd2, star, upsert
 from ..streaming import bronze
 from . import flagship
-from .inputs import clients, deposits, events, rules, table, trades
+from .inputs import birth_rules, births, clients, deposits, events, id_rules, pnl_rules, recovered_rules, refs, rules, table, trades, warehouse_rules
 
 AS_OF = "2000-01-01"
+INSTRUMENTS = [("A", "FX", 100), ("N", "METAL", 10)]
+PARTNER_KEY = "partner-1"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def _window():
+    return F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]):
     QUERIES[f.__name__] = f
     return f
@@ -51,7 +57,7 @@ def _history(spark, d):
     return scd2.build(events(spark, d), "user_id", ["band"], ["note"])
 
 
-DIM = ["user_id", "band", "note", "valid_from", "valid_to", "is_current", "is_deleted", "source_lsn", "source_op"]
+DIM = ["sk", "record_hash", "user_id", "band", "note", "valid_from", "valid_to", "is_current", "is_deleted", "source_lsn", "source_op"]
 
 
 @query
@@ -89,27 +95,56 @@ def watermark_read(spark, d):
 
 @query
 def load_manifest(spark, d):
-    """Order months as files; a third was seen before, half of those with other content."""
+    """Order months as files; a third was seen before, half of those with other content, and one is not delivered again."""
     m = F.date_format("o_orderdate", "yyyyMM")
     found = table(spark, d, "orders").groupBy(m.alias("source_file")).agg(F.count("*").alias("n")).select("source_file", F.sha2(F.col("n").cast("string"), 256).alias("file_hash"))
     seen = found.where(F.col("source_file").cast("int") % 3 == 0).select("source_file", F.when(F.col("source_file").cast("int") % 2 == 0, F.col("file_hash")).otherwise("old").alias("file_hash"), F.lit(1).alias("ingest_count"))
-    return control.register_files(found, seen)
+    return control.register_files(found, seen.unionByName(spark.createDataFrame([("190001", "old", 1)], seen.schema)))
+
+
+@query
+def reingested_rows(spark, d):
+    """Months as files again: corrected ones replace their old rows, duplicates are left out."""
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMM").alias("source_file"))
+    held = o.where(F.col("source_file").cast("int") % 3 == 0).withColumn("o_orderkey", -F.col("o_orderkey"))
+    return control.reingest(held, o, load_manifest(spark, d))
+
+
+def _attempts(spark, d):
+    """Loads per priority and year: files are its expensive orders, and very dear ones break a load."""
+    dear = F.max("o_totalprice")
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("table_name"), F.year("o_orderdate").alias("y"))
+    tries = o.agg(F.count_if(F.col("o_totalprice") > 400000).alias("n_files"), F.count("*").alias("n_rows"), F.when(dear > 499000, "too dear").alias("error"))
+    return control.attempts(tries.withColumn("load_ts", F.make_date("y", F.lit(12), F.lit(31))).drop("y"))
+
+
+@query
+def load_history(spark, d):
+    return _attempts(spark, d)
+
+
+@query
+def load_master(spark, d):
+    old = spark.createDataFrame([("1-URGENT", "SUCCESS", 10), ("OTHER", "FAILED", 20)], "table_name string, last_load_status string, total_records long").withColumn("latest_loaded_ts", F.lit("1990-01-01").cast("date"))
+    return control.update_master(old, _attempts(spark, d))
 
 
 @query
 def file_lag(spark, d):
     li = table(spark, d, "lineitem").select(F.last_day(F.col("l_shipdate").cast("date")).alias("label"), F.col("l_shipdate").cast("date").alias("day"))
-    return control.file_lag(li.where("day(day) <= 27"), "label", "day")
+    return control.file_lag(li, "label", "day")
 
 
 @query
 def missing_days(spark, d):
-    return control.missing_days(table(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderdate").cast("date").alias("day")), "day")
+    return control.missing_days(table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")), "day")
 
 
 @query
 def sequence_gaps(spark, d):
-    return control.sequence_gaps(table(spark, d, "orders").where("o_orderkey % 5 <> 0"), F.regexp_extract(F.concat(F.lit("DEP"), F.col("o_orderkey").cast("string")), r"(\d+)$", 1))
+    """Prices, in whole units at the end of an id, as numbers of which many are missing."""
+    ref = F.concat(F.lit("DEP"), F.floor("o_totalprice").cast("string"))
+    return control.sequence_gaps(table(spark, d, "orders"), F.regexp_extract(ref, r"(\d+)$", 1))
 
 
 @query
@@ -195,7 +230,8 @@ def replace_where(spark, d):
 
 @query
 def lsn_gaps(spark, d):
-    return scd2.lsn_gaps(events(spark, d))
+    """Log numbers taken from the clock, in milliseconds, as far apart as the events."""
+    return scd2.lsn_gaps(events(spark, d).select(F.unix_millis(F.col("commit_ts").cast("timestamp")).alias("lsn")))
 
 
 @query
@@ -247,6 +283,46 @@ def scd2_incremental(spark, d):
     return scd2.apply(dim, first, rest, log, "user_id", ["band"], ["note"])[0].select(*DIM)
 
 
+@query
+def scd2_seed(spark, d):
+    """Customers as the snapshot that opens the history of the users with their numbers."""
+    snapshot = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("band"), F.col("c_mktsegment").alias("note"))
+    log = scd2.seed(snapshot, "user_id", ["band"], ["note"]).unionByName(events(spark, d).withColumn("lsn", F.col("lsn") + 1))
+    return scd2.build(log, "user_id", ["band"], ["note"])[0].select(*DIM)
+
+
+def _same_ts(spark, d):
+    """All events of a day at one commit time: only the last of a key's versions is ever valid."""
+    return scd2.build(events(spark, d).withColumn("commit_ts", F.date_trunc("day", "commit_ts").cast("timestamp_ntz")), "user_id", ["band"], ["note"])
+
+
+@query
+def scd2_same_ts(spark, d):
+    return _same_ts(spark, d)[0].select(*DIM)
+
+
+@query
+def scd2_same_ts_log(spark, d):
+    return _same_ts(spark, d)[1].groupBy("action_taken").agg(F.count("*").alias("n"))
+
+
+@query
+def orphan_facts(spark, d):
+    return scd2.orphans(deposits(spark, d).select("deposit_id", "client_id"), clients(spark, d), "client_id")
+
+
+@query
+def bind_current(spark, d):
+    """Events with the key of their user's current version, null where the user is deleted."""
+    facts = table(spark, d, "events").select("event_id", "user_id")
+    return star.bind_current(facts, _history(spark, d)[0], "user_id", "client_sk")
+
+
+@query
+def lsn_watermark(spark, d):
+    return events(spark, d).agg(F.coalesce(F.max("lsn"), F.lit(0)).alias("watermark")).unionByName(events(spark, d).where("op = 'none'").agg(F.coalesce(F.max("lsn"), F.lit(0)).alias("watermark")))
+
+
 @query
 def scd2_invariants(spark, d):
     return scd2.invariants(_history(spark, d)[0], "user_id")
@@ -254,14 +330,13 @@ def scd2_invariants(spark, d):
 
 @query
 def as_of_join(spark, d):
-    facts = table(spark, d, "events").where("event_type = 'purchase' OR event_id % 7 = 0").select("event_id", "user_id", "ts")
+    facts = table(spark, d, "events").select("event_id", "user_id", "ts")
     return scd2.as_of(facts, _history(spark, d)[0], "user_id", "ts", ["band", "source_lsn"])
 
 
 @query
 def interval_overlap(spark, d):
-    lo, hi = F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
-    return scd2.overlapping(_history(spark, d)[0], lo, hi).select("user_id", "valid_from", "valid_to", "source_lsn")
+    return scd2.overlapping(_history(spark, d)[0], *_window()).select("user_id", "valid_from", "valid_to", "source_lsn")
 
 
 @query
@@ -281,6 +356,14 @@ def inferred_members(spark, d):
     return star.infer_members(c, deposits(spark, d), "client_id", {"kyc_status": F.lit("unknown")})
 
 
+@query
+def stub_ageing(spark, d):
+    """Stubs by the first deposit that named them."""
+    seen = deposits(spark, d).groupBy("client_id").agg(F.min("deposit_date").alias("first_seen"))
+    stubs = star.infer_members(clients(spark, d), deposits(spark, d), "client_id", {"kyc_status": F.lit("unknown")}).join(seen, "client_id")
+    return star.stub_age(stubs, "first_seen", F.lit("1995-01-10").cast("date")).select("client_id", "first_seen", "age_days", "stale")
+
+
 @query
 def stub_upgrade(spark, d):
     stubs = star.infer_members(clients(spark, d), deposits(spark, d), "client_id", {"kyc_status": F.lit("unknown")})
@@ -305,17 +388,51 @@ def fact_deposit(spark, d):
 
 
 def _trades(spark, d):
-    sizes = spark.createDataFrame([("A", 100), ("N", 10)], "instrument string, contract_size int").withColumn("contract_size", F.col("contract_size").cast("decimal(3,0)"))
-    raw = trades(spark, d)
+    """Trades whose reported result is the derived one, but for one order in 31."""
     extra = F.when(F.col("l_orderkey") % 31 == 0, F.lit(Decimal("245.00"))).otherwise(F.lit(Decimal("0.00")))
-    derived = star.fact_trade(raw.withColumn("pnl_usd_reported", F.lit(Decimal("0.00"))), sizes).select("trade_id", F.col("pnl_usd_derived").alias("_d"))
-    reported = raw.join(derived, "trade_id").withColumn("pnl_usd_reported", (F.coalesce("_d", F.lit(Decimal("0.00"))) + extra).cast("decimal(18,2)")).drop("_d")
-    return star.fact_trade(reported, sizes)
+    size = F.when(F.col("instrument") == "A", F.lit(100)).when(F.col("instrument") == "N", F.lit(10)).cast("decimal(9,0)")
+    raw = trades(spark, d).withColumn("contract_size", size)
+    raw = raw.withColumn("pnl_usd_reported", (F.coalesce(star.derived_pnl(), F.lit(Decimal("0.00"))) + extra).cast("decimal(18,2)")).drop("contract_size")
+    raw = raw.withColumn("client_sk", surrogate_key(F.col("client_id"), F.lit("1900-01-01")))
+    return star.fact_trade(raw, star.dim_instrument(spark, INSTRUMENTS))
 
 
 @query
 def fact_trade(spark, d):
-    return _trades(spark, d).select("trade_id", "instrument", "pnl_usd_reported", "pnl_usd_derived", "pnl_variance_usd")
+    return _trades(spark, d).select("trade_sk", "trade_id", "client_sk", "date_key", "instrument_key", "instrument", "pnl_usd_reported", "pnl_usd_derived", "pnl_variance_usd")
+
+
+@query
+def dim_instrument(spark, d):
+    return star.dim_instrument(spark, INSTRUMENTS)
+
+
+@query
+def dq_pnl(spark, d):
+    return dq.evidence(dq.evaluate(_trades(spark, d), pnl_rules()), "trade_id")
+
+
+@query
+def dq_birth_dates(spark, d):
+    return dq.evidence(dq.evaluate(births(spark, d), birth_rules(AS_OF)), "client_id")
+
+
+@query
+def dq_deposit_id(spark, d):
+    """Rows that would stop the load, with their place in place of an id."""
+    return dq.evidence(dq.evaluate(refs(spark, d), id_rules("deposit_ref")), "deposit_id")
+
+
+@query
+def dq_recovered_keys(spark, d):
+    c = contract.Contract({"id": "bigint", "payment_method": "string"}, ("id",), {}, {"credit_card": "payment_method"})
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("payment_method"), F.lit("CARD").alias("credit_card"))
+    return dq.evidence(dq.evaluate(contract.normalise(o, c), recovered_rules()), "id")
+
+
+@query
+def warehouse_gate(spark, d):
+    return dq.evidence(dq.evaluate(refs(spark, d).join(clients(spark, d), "client_id", "left"), warehouse_rules()), "deposit_id")
 
 
 @query
@@ -325,7 +442,7 @@ def pnl_control(spark, d):
 
 @query
 def contract_size(spark, d):
-    return star.infer_contract_size(_trades(spark, d).where("instrument <> 'R'").select("instrument", "volume_lots", F.col("open_price").cast("decimal(12,4)").alias("open_price"), F.col("close_price").cast("decimal(12,4)").alias("close_price"), "pnl_usd_reported"))
+    return star.infer_contract_size(_trades(spark, d).where("pnl_usd_derived is not null").select("instrument", "volume_lots", F.col("open_price").cast("decimal(12,4)").alias("open_price"), F.col("close_price").cast("decimal(12,4)").alias("close_price"), "pnl_usd_reported"))
 
 
 @query
@@ -342,7 +459,7 @@ def erase_personal(spark, d):
 
 @query
 def partner_view(spark, d):
-    return table(spark, d, "customer").select(masked("c_custkey").alias("client_token"), "c_mktsegment", (F.col("c_custkey") % 50 == 0).alias("is_deleted"), F.lit(AS_OF).cast("date").alias("data_as_of"))
+    return table(spark, d, "customer").select(masked("c_custkey", PARTNER_KEY).alias("client_token"), "c_mktsegment", (F.col("c_custkey") % 50 == 0).alias("is_deleted"), F.lit(AS_OF).cast("date").alias("data_as_of"))
 
 
 @query
@@ -362,28 +479,24 @@ def recon_tier2(spark, d):
 
 @query
 def recon_breaks(spark, d):
-    v, w, a, b = _matched(spark, d)
-    return recon.breaks(v, w, a.unionByName(b))
+    return recon.unmatched(*_feeds(spark, d))
 
 
 @query
 def recon_evidence(spark, d):
     v, w, a, b = _matched(spark, d)
-    m = a.unionByName(b)
-    out = recon.evidence(m, recon.breaks(v, w, m), "run")
+    out = recon.evidence(a.unionByName(b), recon.unmatched(v, w), "run")
     return out.groupBy("match_tier", "break_type", "run_id").agg(F.count("*").alias("n"))
 
 
 @query
 def recon_summary(spark, d):
-    v, w, a, b = _matched(spark, d)
-    return recon.ageing(recon.breaks(v, w, a.unionByName(b)), _as_of())
+    return recon.ageing(recon.unmatched(*_feeds(spark, d)), _as_of())
 
 
 @query
 def recon_pages(spark, d):
-    v, w, a, b = _matched(spark, d)
-    return recon.pages(recon.breaks(v, w, a.unionByName(b)))
+    return recon.pages(recon.unmatched(*_feeds(spark, d)))
 
 
 @query
@@ -398,14 +511,24 @@ def source_totals(spark, d):
 
 @query
 def backfill_affected(spark, d):
-    lo, hi = F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
-    return backfill.affected(_history(spark, d)[0], "user_id", lo, hi)
+    return backfill.affected(_history(spark, d)[0], "user_id", *_window())
 
 
 @query
 def backfill_unwind(spark, d):
+    """The history as if nothing had come between two commit times."""
+    dim, log = _history(spark, d)
+    _, lsns = backfill.rewind(log, *_window())
+    return backfill.unwind(dim, events(spark, d), log, lsns, "user_id", ["band"], ["note"])[0].select(*DIM)
+
+
+@query
+def backfill_restate(spark, d):
+    """The events between two commit times come again with the next band."""
+    e = events(spark, d)
     dim, log = _history(spark, d)
-    return backfill.unwind(dim, log.where("lsn % 5 = 0").select("lsn"), "user_id").select("user_id", "valid_from", "valid_to", "is_current", "source_lsn")
+    corrected = e.where((F.col("commit_ts") >= _window()[0]) & (F.col("commit_ts") < _window()[1])).withColumn("band", F.col("band") + 1)
+    return backfill.restate(dim, e, log, corrected, *_window(), "user_id", ["band"], ["note"])[0].select(*DIM)
 
 
 @query
@@ -435,6 +558,37 @@ def business_rollup(spark, d):
     return clean.join(c, "client_id").groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n_deposits"), F.sum(F.col("amount_usd") - F.col("fee_usd")).cast("decimal(18,2)").alias("net_amount"))
 
 
+@query
+def partner_rollup(spark, d):
+    """A partner is a region: net deposits by partner and segment, with subtotals."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("client_id"), F.col("r_name").alias("partner"), "c_mktsegment")
+    clean = dq.split(_checked(spark, d))[0]
+    return clean.join(c, "client_id").rollup("partner", "c_mktsegment").agg(F.count("*").alias("n_deposits"), F.sum(F.col("amount_usd") - F.col("fee_usd")).cast("decimal(18,2)").alias("net_amount"))
+
+
+@query
+def referral_rollup(spark, d):
+    """Clients were referred by the client with a tenth of their number."""
+    clean = dq.split(_checked(spark, d))[0]
+    return clean.groupBy(F.floor(F.col("client_id") / 10).alias("referrer")).agg(F.count_distinct("client_id").alias("clients"), F.sum(F.col("amount_usd") - F.col("fee_usd")).cast("decimal(18,2)").alias("net_amount"))
+
+
+@query
+def having_global(spark, d):
+    """One row if any deposit has no amount, else none."""
+    return deposits(spark, d).agg(F.count("*").alias("n_rows"), F.count_if(F.col("amount_usd").isNull()).alias("n_null")).where("n_null > 0")
+
+
+@query
+def validation_rows(spark, d):
+    """Counts and totals of three tables, one row each."""
+    clean = dq.split(_checked(spark, d))[0]
+    t = _trades(spark, d)
+    row = lambda name, df, total: df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(total).cast("decimal(24,2)").alias("total"))
+    return row("clients", clients(spark, d), F.lit(0)).unionByName(row("fact_deposit", clean, F.col("amount_usd"))).unionByName(row("fact_trade", t, F.col("pnl_usd_reported")))
+
+
 def _velocity(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
     return bronze.velocity(e, "user_id", "ts", "value").withColumn("total", F.col("total").cast("decimal(18,2)"))

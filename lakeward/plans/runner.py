@@ -12,28 +12,32 @@ from dataclasses import dataclass
 class Stage:
     name: str
     work: Callable[[str], object]
-    retries: int = 0
+    retries: int | None = None
     wait_s: float = 0.0
     after: tuple[str, ...] = ()
 
 
-#: Retries of the batch job's stages.
+#: Retries of the batch job's stages, where a stage names none.
 DEFAULT_RETRIES = {"bronze": 2, "silver": 1, "history": 1, "gold": 1, "reconciliation": 0}
 
 
 def run(stages: list[Stage], run_id: str | None = None) -> dict[str, dict]:
-    """Each stage gets the run id; the first that fails beyond its retries stops the run."""
+    """Each stage gets the run id; the first that fails beyond its retries stops the run.
+
+    Hold ``sources.files.exclusive`` around it where a second run must be refused.
+    """
     run_id, done = run_id or uuid.uuid4().hex, {}
     for stage in stages:
         if missing := [a for a in stage.after if a not in done]:
             raise ValueError(f"{stage.name} stands before {missing}")
         began = time.time()
-        for attempt in range(1, stage.retries + 2):
+        retries = DEFAULT_RETRIES.get(stage.name, 0) if stage.retries is None else stage.retries
+        for attempt in range(1, retries + 2):
             try:
                 result = stage.work(run_id)
                 break
             except Exception:
-                if attempt > stage.retries:
+                if attempt > retries:
                     raise
                 time.sleep(stage.wait_s)
         done[stage.name] = {"attempts": attempt, "seconds": time.time() - began, "result": result}

@@ -1,19 +1,21 @@
-"""Readers of landing files, lineage and archiving."""
+"""Readers of landing files, lineage, load audit and archiving."""
 
 from __future__ import annotations
 
-import os
-import shutil
+import csv
+import datetime as dt
 from collections import defaultdict
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.contract import Contract, assert_known, normalise
+from .files import Files
 
-
+TRY = "table_name string, load_ts timestamp, n_files long, n_rows long, error string"
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -26,28 +28,38 @@ def read_cdc(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).json(path)
 
 
-def headers(spark: SparkSession, path: str) -> dict[str, str]:
-    """The header line of each CSV file: one row per file reaches the driver."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), "value")
-    numbered = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id())
-    return {r.f: r.h for r in numbered.groupBy("f").agg(F.min_by("value", "n").alias("h")).toLocalIterator()}
+def flatten_images(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """A change log's ``columns`` from the after image, or the before image of a delete."""
+    return changes.select(*(c for c in changes.columns if c not in ("before", "after")), *(F.coalesce(F.col("after").getField(c), F.col("before").getField(c)).alias(c) for c in columns))
 
 
-def read_csv_by_header(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
+def read_csv_by_header(spark: SparkSession, source: str | list[str], contract: Contract, number_rows: bool = False) -> DataFrame:
     """CSV files whose headers differ, each group of equal headers read by its own names.
 
-    Undeclared columns block before a row is read; ``_source_file`` and ``_raw`` (the row as JSON) are added.
+    Only the first line of each file reaches the driver; names may be quoted. Undeclared columns
+    block before a row is read; ``_source_file`` and ``_raw`` (the row as JSON) are added, and with
+    ``number_rows`` also ``_row_number``, counted in each file from 1. No files give no rows.
     """
-    groups: dict[str, list[str]] = defaultdict(list)
-    for f, h in sorted(headers(spark, path).items()):
-        groups[h].append(f)
+    files = pending(spark, source, ".csv") if isinstance(source, str) else sorted(source)
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for f in files:
+        names = next(csv.reader([Files(spark, f).first_line(f).lstrip("﻿")]), [])
+        groups[tuple(n.strip() for n in names)].append(f)
+    if not groups:
+        empty = ", ".join([*(f"`{c}` string" for c in contract.columns), "_source_file string", "_raw string", *(["_row_number int"] if number_rows else [])])
+        return normalise(spark.createDataFrame([], empty), contract)
     parts = []
-    for header, files in groups.items():
-        names = [n.strip() for n in header.split(",")]
-        assert_known(names, contract)
+    for names, own in groups.items():
+        assert_known(list(names), contract)
         schema = ", ".join(f"`{n}` string" for n in names)
-        rows = spark.read.schema(schema).option("header", True).csv(files)
-        rows = rows.select(*names, F.col("_metadata.file_name").alias("_source_file"), F.to_json(F.struct(*names)).alias("_raw"))
+        rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(own)
+        extra = [F.col("_metadata.file_name").alias("_source_file"), F.to_json(F.struct(*(F.col(f"`{n}`") for n in names))).alias("_raw")]
+        if number_rows:
+            extra += [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place")]
+        rows = rows.select(*(F.col(f"`{n}`") for n in names), *extra)
+        if number_rows:
+            by = Window.partitionBy("_source_file").orderBy("_block", "_place")
+            rows = rows.withColumn("_row_number", F.row_number().over(by)).drop("_block", "_place")
         parts.append(normalise(rows, contract))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -63,21 +75,28 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"))
 
 
-def pending(folder: str, suffix: str = "", label: str = "") -> list[str]:
+def pending(spark: SparkSession, folder: str, suffix: str = "", label: str = "") -> list[str]:
     """Landing files still to load; ``label`` replays only those whose name contains it."""
-    if not os.path.isdir(folder):
-        return []
-    return sorted(os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(suffix) and label in n and not n.startswith((".", "_")))
+    name = lambda f: f.rsplit("/", 1)[-1]
+    return [f for f in Files(spark, folder).names(folder) if name(f).endswith(suffix) and label in name(f) and not name(f).startswith((".", "_"))]
 
 
-def drain(files: list[str], archive: str, table: str, stamp: str) -> list[str]:
-    """Moves loaded files to the archive, last of all; returns those that could not be moved."""
-    target = os.path.join(archive, table, stamp)
-    os.makedirs(target, exist_ok=True)
-    failed = []
-    for f in files:
+def load(spark: SparkSession, table: str, folder: str, suffix: str, work: Callable[[list[str]], int], at: dt.datetime) -> DataFrame:
+    """One attempt to load what is pending, as a row for ``control.attempts``; a failure is recorded, not raised.
+
+    ``work`` takes the files and returns the rows that it wrote; an empty landing folder never calls it.
+    """
+    files = pending(spark, folder, suffix)
+    rows, error = 0, None
+    if files:
         try:
-            shutil.move(f, os.path.join(target, os.path.basename(f)))
-        except OSError:
-            failed.append(f)
-    return failed
+            rows = work(files)
+        except Exception as e:
+            error = str(e)[:500]
+    return spark.createDataFrame([(table, at, len(files), rows, error)], TRY)
+
+
+def drain(spark: SparkSession, files: list[str], archive: str, table: str, stamp: str) -> list[str]:
+    """Moves loaded files to the archive, last of all; returns those that could not be moved."""
+    store = Files(spark, archive)
+    return [f for f in files if not store.move(f, f"{archive}/{table}/{stamp}")]

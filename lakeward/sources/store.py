@@ -1,86 +1,100 @@
-"""Versioned Parquet tables: atomic replacement, pinned reads, restore, bundles.
+"""Versioned Parquet tables: atomic commits, pinned reads, restore, bundles.
 
-Each table is a folder of v=N folders and a pointer file. A commit writes the new version's files,
-then a new pointer through Hadoop's file system, so any store that Spark reads will do; a reader
-sees the old version or the new one. Several tables in one bundle share a pointer and change together.
+A table is a list of data folders, each written once and never changed, and a version of the store
+is a small file that lists them. A commit writes its own new folders, then makes the next version's
+file, which must not exist yet: of two writers of one version the second is refused and its folders
+go, whatever it wrote. An append adds a folder, a replacement rewrites only the folders that hold
+rows to replace, so neither reads the whole table. Several tables in one bundle change together.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.upsert import replace_range
+from .files import Files
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files = Files(spark, self.root)
 
-    def _pointers(self) -> list[int]:
-        folder = self._path(f"{self.root}/_commits")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+    def version(self) -> int:
+        """The present version of the whole store, 0 before any commit."""
+        found = [int(n.rsplit("/", 1)[-1].split(".")[0]) for n in self._files.names(f"{self.root}/_commits") if n.endswith(".json")]
+        return max(found, default=0)
 
-    def _read(self, version: int) -> dict[str, str]:
+    def _state(self, version: int) -> dict[str, list[dict]]:
+        if not version:
+            return {}
         rows = self.spark.read.text(f"{self.root}/_commits/{version:08d}.json").collect()
         return json.loads("".join(r.value for r in rows))
 
-    def version(self) -> int:
-        """The present version of the whole store, 0 before any commit."""
-        found = self._pointers()
-        return found[-1] if found else 0
-
-    def commit_bundle(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-        """Writes new versions of the tables and moves the pointer once, by an atomic rename."""
-        now = self.version()
-        state = self._read(now) if now else {}
-        new = now + 1
-        for name, df in tables.items():
-            path = f"{self.root}/{name}/v={new:08d}"
-            writer = df.write.mode("overwrite")
-            if partition_by and name in partition_by:
-                writer = writer.partitionBy(*partition_by[name])
-            writer.parquet(path)
-            state[name] = path
-        return self._point(new, state)
-
-    def _point(self, version: int, state: dict[str, str]) -> int:
-        final = self._path(f"{self.root}/_commits/{version:08d}.json")
-        draft = self._path(f"{self.root}/_commits/.{version:08d}.draft")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+    def _put(self, name: str, df: DataFrame, partition_by: list[str] | None) -> dict:
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        writer = df.write.mode("error")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        return {"path": path, "by": partition_by or []}
+
+    def _commit(self, version: int, state: dict[str, list[dict]], made: list[dict]) -> int:
+        if not self._files.create(f"{self.root}/_commits/{version:08d}.json", json.dumps(state)):
+            for entry in made:
+                self._files.delete(entry["path"])
             raise RuntimeError(f"another commit took version {version}")
         return version
 
+    def commit_bundle(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, base: int | None = None) -> int:
+        """Writes the tables anew and commits once, on top of version ``base`` (the present one)."""
+        base = self.version() if base is None else base
+        made = {name: [self._put(name, df, (partition_by or {}).get(name))] for name, df in tables.items()}
+        return self._commit(base + 1, self._state(base) | made, [e for entries in made.values() for e in entries])
+
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
         return self.commit_bundle({name: df}, {name: partition_by} if partition_by else None)
 
-    def append(self, name: str, df: DataFrame) -> int:
-        """A new version with the rows added by name; new columns are null in old rows."""
-        return self.write(name, self.read(name).unionByName(df, allowMissingColumns=True) if self.has(name) else df)
+    def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
+        """Adds the rows as a folder of their own; new columns are null in old rows."""
+        base = self.version()
+        state = self._state(base)
+        entry = self._put(name, df, partition_by)
+        return self._commit(base + 1, state | {name: [*state.get(name, []), entry]}, [entry])
 
     def replace(self, name: str, df: DataFrame, inside: Column) -> int:
-        """Replaces what ``inside`` selects, also by nothing."""
-        return self.write(name, replace_range(self.read(name), df, inside))
+        """Replaces what ``inside`` selects, also by nothing; folders without such rows stay as they are."""
+        base = self.version()
+        state = self._state(base)
+        hit = F.coalesce(inside, F.lit(False))
+        stay, made = [], []
+        for entry in state[name]:
+            part = self._folder([entry])
+            if part.where(hit).isEmpty():
+                stay.append(entry)
+            else:
+                made.append(self._put(name, part.where(~hit), entry["by"]))
+        made.append(self._put(name, df, None))
+        return self._commit(base + 1, state | {name: stay + made}, made)
+
+    def _folder(self, entries: list[dict]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*(e["path"] for e in entries))
 
     def has(self, name: str) -> bool:
-        now = self.version()
-        return bool(now) and name in self._read(now)
+        return name in self._state(self.version())
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._read(self.version() if version is None else version)[name])
+        entries = self._state(self.version() if version is None else version)[name]
+        # Folders without partitions are one scan; Spark takes partitions from one root at a time.
+        plain = [e for e in entries if not e["by"]]
+        parts = ([self._folder(plain)] if plain else []) + [self._folder([e]) for e in entries if e["by"]]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def restore(self, version: int) -> int:
         """Makes an old version the present one, as a new commit."""
-        return self._point(self.version() + 1, self._read(version))
+        return self._commit(self.version() + 1, self._state(version), [])
 
 
 def append_partitioned(df: DataFrame, path: str, day: str = "delta_created_dt") -> None:

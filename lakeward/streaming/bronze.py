@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.contract import Contract
+from ..sources import ingest
+
 AUDIT = "batch_id long, query_name string, target_table string, records_processed long, status string, error_message string"
 
 
@@ -22,9 +26,29 @@ def trigger(mode: str) -> dict:
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType | str, kind: str = "json", **options) -> DataFrame:
-    """A file stream with lineage columns and a rescue column for what the schema lacks."""
-    rows = spark.readStream.schema(schema).options(**options).format(kind).load(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_modification_time").alias("_source_file_modification_time"))
+    """A file stream with lineage columns; JSON lines also get ``_rescued``, what the schema does not declare, null of nothing."""
+    lineage = [F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_modification_time").alias("_source_file_modification_time")]
+    if kind != "json":
+        return spark.readStream.schema(schema).options(**options).format(kind).load(path).select("*", *lineage)
+    known = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.readStream.options(**options).format("text").load(path).where("trim(value) <> ''")
+    rows = rows.select(F.from_json("value", known).alias("_row"), rescued(F.col("value"), known.fieldNames()).alias("_rescued"), *lineage)
+    return rows.select("_row.*", "_rescued", "_source_file", "_source_file_modification_time")
+
+
+def read_csv_files(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """A stream of CSV files' paths, at most ``most`` a batch, for ``by_header``; their content is not read here."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", most).option("pathGlobFilter", "*.csv").load(path)
+    return rows.select("path")
+
+
+def by_header(contract: Contract) -> Callable[[DataFrame], DataFrame]:
+    """The transform of a batch of CSV paths: each file's columns go by its own header, not by position."""
+
+    def run(batch: DataFrame) -> DataFrame:
+        return ingest.read_csv_by_header(batch.sparkSession, [r.path for r in batch.collect()], contract)
+
+    return run
 
 
 def rescued(raw: Column, known: list[str]) -> Column:
@@ -60,11 +84,19 @@ def start(rows: DataFrame, name: str, sink: str, audit: str, checkpoint: str, mo
 
 
 def await_all(queries: list[StreamingQuery]) -> None:
-    """All are started before any is awaited; the first that fails raises."""
-    for q in queries:
-        q.awaitTermination()
-        if q.exception():
-            raise q.exception()
+    """All are started before any is awaited; whichever fails first raises, while the others still run."""
+    waiting = list(queries)
+    while waiting:
+        for q in list(waiting):
+            if q.awaitTermination(0.2):
+                waiting.remove(q)
+                if q.exception():
+                    raise q.exception()
+
+
+def overdue(started: dict[str, dt.datetime], now: dt.datetime, most_s: int = 86_400) -> list[str]:
+    """Names of continuous runs that last longer than ``most_s`` seconds and raise an alarm."""
+    return sorted(name for name, at in started.items() if (now - at).total_seconds() > most_s)
 
 
 def velocity(events: DataFrame, key: str, ts: str, value: str, width: str = "1 hour", late: str | None = None) -> DataFrame:

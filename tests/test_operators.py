@@ -11,6 +11,7 @@ from lakeward.operators import control, dq, recon, scd2, star, upsert
 from lakeward.operators.contract import Blocked, Contract, normalise
 from lakeward.plans import runner
 from lakeward.sources import ingest
+from lakeward.sources.files import exclusive
 from lakeward.sources.store import Store
 from lakeward.streaming import bronze
 
@@ -47,14 +48,14 @@ def test_json_array_and_lineage(spark, tmp_path):
 def test_manifest_pending_drain(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "f_20240302.csv").write_text("a\n1\n")
-    assert len(ingest.pending(str(tmp_path / "in"), ".csv", "20240302")) == 1 and ingest.pending(str(tmp_path / "in"), ".csv", "2025") == []
+    assert len(ingest.pending(spark, str(tmp_path / "in"), ".csv", "20240302")) == 1 and ingest.pending(spark, str(tmp_path / "in"), ".csv", "2025") == []
     found = ingest.file_hashes(spark, str(tmp_path / "in"))
     none = spark.createDataFrame([], "source_file string, file_hash string, ingest_count int")
     first = control.register_files(found, none)
     assert [r.status for r in first.collect()] == ["INGESTED"]
     assert [r.status for r in control.register_files(found, first).collect()] == ["SKIPPED_DUPLICATE"]
-    assert ingest.drain(ingest.pending(str(tmp_path / "in")), str(tmp_path / "archive"), "t", "20240302000000") == []
-    assert ingest.pending(str(tmp_path / "in")) == []
+    assert ingest.drain(spark, ingest.pending(spark, str(tmp_path / "in"), ".csv"), str(tmp_path / "archive"), "t", "20240302000000") == []
+    assert ingest.pending(spark, str(tmp_path / "in"), ".csv") == [] and (tmp_path / "archive" / "t" / "20240302000000" / "f_20240302.csv").exists()
     assert spark.range(1).select(control.label_date(F.lit("f_20240302.csv"))).first()[0] == dt.date(2024, 3, 2)
 
 
@@ -85,8 +86,10 @@ def test_merge_is_idempotent(spark):
     assert {r.action: r.n for r in upsert.actions(once).collect()} == {"kept": 1, "update": 1, "insert": 1}
     again = upsert.merge(once.drop("_action"), s, ["k"], "h")
     assert {r.action: r.n for r in upsert.actions(again).collect()} == {"kept": 1, "unchanged": 2}
-    with pytest.raises(Blocked):
-        upsert.one_per_key(s.union(s), ["k"])
+    for bad in (s.union(s), spark.createDataFrame([(None, "x")], "k int, h string")):
+        with pytest.raises(Blocked):
+            upsert.merge(t, bad, ["k"], "h")
+    assert upsert.changed(once) and not upsert.changed(again)
 
 
 def _sequential(events):
@@ -147,6 +150,7 @@ def test_reconciliation_tolerance_is_strict(spark):
     one = recon.tier1(v, w)
     two = recon.tier2(v, w, one)
     assert [r.vendor_id for r in one.collect()] == [1] and [r.vendor_id for r in two.collect()] == [2]
+    assert sorted(map(tuple, recon.unmatched(v, w).collect())) == sorted(map(tuple, recon.breaks(v, w, one.union(two)).collect()))
     got = sorted((r.break_type, r.deposit_id, str(r.variance_usd)) for r in recon.breaks(v, w, one.union(two)).collect())
     assert got == [("VENDOR_ONLY", 3, "9.00"), ("WAREHOUSE_ONLY", 13, "-9.01")]
 
@@ -188,6 +192,119 @@ def test_stream_is_audited_and_captures_once(spark, tmp_path):
         bronze.trigger("now and then")
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    a.write("t", spark.range(5))
+    base = b.version()
+    a.append("t", spark.range(100, 102))
+    with pytest.raises(RuntimeError):
+        b.commit_bundle({"t": spark.range(50, 55)}, base=base)
+    assert sorted(r.id for r in a.read("t").collect()) == [0, 1, 2, 3, 4, 100, 101]
+    assert len(list((tmp_path / "store" / "t").iterdir())) == 2
+
+
+def test_append_and_replace_leave_other_folders(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.write("t", spark.range(10).withColumn("p", F.col("id") % 2), ["p"])
+    first = s._state(1)["t"]
+    s.append("t", spark.range(10, 20).withColumn("p", F.lit(7).cast("long")))
+    assert s._state(2)["t"][:1] == first and spark.read.parquet(s._state(2)["t"][1]["path"]).count() == 10
+    s.replace("t", spark.range(100, 101).withColumn("p", F.lit(0).cast("long")), F.col("id") >= 15)
+    assert s._state(3)["t"][:1] == first
+    assert sorted(r.id for r in s.read("t").collect()) == [*range(15), 100]
+
+
+def test_gaps_of_far_apart_numbers(spark):
+    rows = spark.createDataFrame([(n,) for n in (1, 2, 3_000_000_000, -5, 70_000, 1 << 62)], "lsn long")
+    got = sorted(tuple(r) for r in scd2.lsn_gaps(rows).collect())
+    assert got == [(-5, 1), (2, 70_000), (70_000, 3_000_000_000), (3_000_000_000, 1 << 62)]
+    planted = control.sequence_gaps(spark.range(40).where("id % 5 <> 0"), F.col("id"))
+    assert sorted(r.after for r in planted.collect()) == [4, 9, 14, 19, 24, 29, 34]
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-31')) AS day").where("day(day) NOT IN (3, 4, 20)")
+    assert sorted(r.day.day for r in control.missing_days(days, "day").collect()) == [3, 4, 20]
+
+
+def test_partial_images_at_one_time(spark):
+    t = dt.datetime(2024, 1, 1)
+    dim, _ = scd2.build(spark.createDataFrame([(1, 1, t, "insert", "x", None), (2, 1, t, "update", "y", "p"), (3, 1, t, "update", None, "q")], EVENTS), "k", ["a", "b"], [])
+    assert [(r.a, r.b) for r in dim.collect()] == [("y", "q")]
+
+
+def test_as_of_equals_a_range_join(spark):
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    cuts = {k: sorted(rnd.sample(range(50), 5)) for k in range(4)}
+    versions = [(k, base + dt.timedelta(hours=a), base + dt.timedelta(hours=b), a) for k, c in cuts.items() for a, b in zip(c, c[1:], strict=False)]
+    dim = spark.createDataFrame([*versions, (None, base, base + dt.timedelta(hours=9), -1)], "k int, valid_from timestamp_ntz, valid_to timestamp_ntz, v int")
+    facts = [(i, rnd.choice([0, 1, 2, 3, 9, None]), base + dt.timedelta(hours=rnd.randint(-2, 60))) for i in range(80)]
+    got = {r.i: r.v for r in scd2.as_of(spark.createDataFrame(facts, "i int, k int, at timestamp_ntz"), dim, "k", "at", ["v"]).collect()}
+    assert got == {i: next((v for kk, a, b, v in versions if kk == k and a <= at < b), None) for i, k, at in facts}
+
+
+def test_csv_edges(spark, tmp_path):
+    assert ingest.read_csv_by_header(spark, str(tmp_path), CONTRACT, number_rows=True).collect() == []
+    (tmp_path / "q.csv").write_text('"deposit_id","amount_usd","payment_method"\nD1,1.00,card\nD2,2.00,"a,b"\n')
+    got = sorted((r._row_number, r.deposit_id, r.payment_method) for r in ingest.read_csv_by_header(spark, str(tmp_path), CONTRACT, number_rows=True).collect())
+    assert got == [(1, "D1", "card"), (2, "D2", "a,b")]
+
+
+def test_load_attempts(spark, tmp_path):
+    at = dt.datetime(2024, 3, 1)
+    (tmp_path / "a.csv").write_text("x")
+    tries = [ingest.load(spark, "none", str(tmp_path / "nothing"), ".csv", lambda f: 1, at), ingest.load(spark, "ok", str(tmp_path), ".csv", lambda f: 7, at), ingest.load(spark, "bad", str(tmp_path), ".csv", lambda f: 1 // 0, at)]
+    history = control.attempts(tries[0].union(tries[1]).union(tries[2]))
+    assert {r.table_name: (r.load_status, r.records_loaded) for r in history.collect()} == {"none": ("NO_FILES", 0), "ok": ("SUCCESS", 7), "bad": ("FAILED", 0)}
+    master = spark.createDataFrame([("bad", "SUCCESS", dt.datetime(2024, 1, 1), 3)], "table_name string, last_load_status string, latest_loaded_ts timestamp, total_records long")
+    got = {r.table_name: r for r in control.update_master(master, history).collect()}
+    assert set(got) == {"ok", "bad"} and got["bad"].last_load_status == "FAILED" and got["bad"].latest_loaded_ts == dt.datetime(2024, 1, 1)
+
+
+def test_nested_change_log(spark, tmp_path):
+    lines = [{"lsn": 1, "op": "insert", "before": None, "after": {"k": 1, "a": "x"}}, {"lsn": 2, "op": "delete", "before": {"k": 1, "a": "x"}, "after": None}]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
+    image = "struct<k: long, a: string>"
+    got = ingest.flatten_images(ingest.read_cdc(spark, str(tmp_path), f"lsn long, op string, before {image}, after {image}"), ["k", "a"]).orderBy("lsn").collect()
+    assert [(r.lsn, r.op, r.k, r.a) for r in got] == [(1, "insert", 1, "x"), (2, "delete", 1, "x")]
+
+
+def test_stream_rescues_and_reads_headers(spark, tmp_path):
+    js, cs = tmp_path / "js", tmp_path / "cs"
+    js.mkdir()
+    cs.mkdir()
+    (js / "a.json").write_text('{"k": 1, "new": "z"}\n{"k": 2}\n')
+    (cs / "a.csv").write_text("deposit_id,amount_usd\nD1,1.00\n")
+    (cs / "b.csv").write_text("amount,deposit_id\n2.00,D2\n")
+    a = bronze.start(bronze.read_files(spark, str(js), "k long"), "js", str(tmp_path / "o1"), str(tmp_path / "a1"), str(tmp_path / "c1"))
+    b = bronze.start(bronze.read_csv_files(spark, str(cs)), "cs", str(tmp_path / "o2"), str(tmp_path / "a2"), str(tmp_path / "c2"), transform=bronze.by_header(CONTRACT))
+    bronze.await_all([a, b])
+    assert {r.k: r._rescued for r in spark.read.parquet(str(tmp_path / "o1")).collect()} == {1: '{"new":"z"}', 2: None}
+    assert {r.deposit_id: str(r.amount_usd) for r in spark.read.parquet(str(tmp_path / "o2")).collect()} == {"D1": "1.00", "D2": "2.00"}
+    now = dt.datetime(2024, 1, 3)
+    assert bronze.overdue({"old": dt.datetime(2024, 1, 1), "new": dt.datetime(2024, 1, 2, 12)}, now) == ["old"]
+
+
+def test_velocity_with_a_watermark_equals_batch(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 1, 0, m), 2.0) for m in (1, 30, 59)] + [(1, dt.datetime(2024, 1, 1, 5), 1.0)]
+    schema = "k int, ts timestamp, v double"
+    frame = spark.createDataFrame(rows, schema)
+    frame.write.parquet(str(tmp_path / "in"))
+    live = bronze.velocity(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", "ts", "v", late="1 hour")
+    q = live.writeStream.format("memory").queryName("vel").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    bronze.await_all([q])
+    batch = {tuple(r) for r in bronze.velocity(frame, "k", "ts", "v").collect()}
+    closed = {tuple(r) for r in spark.table("vel").collect()}
+    assert closed <= batch and len(closed) == 1
+
+
+def test_second_run_is_refused(spark, tmp_path):
+    lock = str(tmp_path / "lock")
+    with exclusive(spark, lock):
+        with pytest.raises(RuntimeError), exclusive(spark, lock):
+            pass
+    with exclusive(spark, lock):
+        assert runner.Stage("bronze", lambda r: r).retries is None
+
+
 def test_runner_retries():
     calls = []
 
