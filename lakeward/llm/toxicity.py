@@ -1,9 +1,14 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Document labels mark tokens: those that occur in toxic documents significantly more often than
-chance allows are toxic where a toxic document holds them. A chain with two states learns from
-those; in a text each line is a sequence, forward-backward gives each token's marginal, and the
-marginals make the document's score and the offending offsets.
+chance allows are toxic where a toxic document holds them; near copies count as one document, so
+words that merely stand in copies of one toxic text are not marked. A chain with two states learns from those, by features of a token and its neighbours; in a text each
+line is a sequence, forward-backward gives each token's marginal, and the marginals make the
+document's score and the offending offsets.
+
+The sample is bounded, by rows of each label, characters of a text and lines; each row stands for
+as many labelled rows as its label has per sampled one, so shares, thresholds and the calibration
+mean the same at every size.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ BUCKETS = 1 << 17
 PUNCTUATION = ".,;:!?()"
 TRAIN_TOXIC, TRAIN_OTHER = 2500, 2500
 TRAIN_LINES = 6_000
+TRAIN_CHARS = 20_000
+SKETCH = 16
 SEGMENT = 64
-STEMS = (5, 6, 7)
+STEMS = (5, 6, 7, 8)
 EMISSION_CACHE = 400_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -50,28 +57,62 @@ def features(word: str) -> list[int]:
     return [0, *(1 + zlib.crc32(f.encode()) % (BUCKETS - 1) for f in named)]
 
 
-WIDTH = len(features(""))
+def context(word: str) -> tuple[int, int]:
+    """Hashed features of a word to the token behind it and to the one before it."""
+    return tuple(1 + zlib.crc32(f"{side}:{word}".encode()) % (BUCKETS - 1) for side in "pn")
 
 
-def lexicon(texts: list[list[str]], labels: list[int], risk: float = 0.01) -> set[str]:
-    """Words and beginnings whose share of toxic documents is beyond chance, at ``risk`` over all that are tried."""
-    toxic, total = Counter(), Counter()
-    for words, label in zip(texts, labels, strict=True):
-        own = set(words)
-        total.update(own)
-        if label:
-            toxic.update(own)
-    rate = sum(labels) / max(1, len(labels))
-    if not 0 < rate < 1:
+WIDTH = len(features("")) + 2
+BORDER = "\n"
+
+
+def families(texts: list[list[str]]) -> list[int]:
+    """A number for each text that near copies share: half of their SKETCH least hashes of word runs are equal."""
+    root = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    holders: dict[int, list[int]] = {}
+    for k, words in enumerate(texts):
+        own = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:SKETCH]
+        shared = Counter(j for h in own for j in holders.get(h, ()))
+        for j, n in shared.items():
+            if 2 * n >= len(own):
+                low, high = sorted((find(j), find(k)))
+                root[high] = low
+        for h in own:
+            holders.setdefault(h, []).append(k)
+    return [find(k) for k in range(len(texts))]
+
+
+def lexicon(texts: list[list[str]], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), risk: float = 0.01) -> set[str]:
+    """Words and beginnings whose share of toxic documents is beyond chance, at ``risk`` over all that are tried.
+
+    Near copies with one label count once; ``weights`` are those of a clean and of a toxic document.
+    """
+    seen: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
+    groups: tuple[set[int], set[int]] = (set(), set())
+    for words, label, family in zip(texts, labels, families(texts), strict=True):
+        groups[label].add(family)
+        for w in set(words):
+            for s in stems(w):
+                seen[label].setdefault(s, set()).add(family)
+    toxic, clean = len(groups[1]) * weights[1], len(groups[0]) * weights[0]
+    if not toxic or not clean:
         return set()
-    bound = math.log(risk / max(1, len(total)))
+    rate = toxic / (toxic + clean)
+    bound = math.log(risk / len(seen[1]))
     out = set()
-    for word, k in toxic.items():
-        n = total[word]
-        share = k / n
+    for word, own in seen[1].items():
+        k, others = len(own), len(seen[0].get(word, ()))
+        share = k * weights[1] / (k * weights[1] + others * weights[0])
         # Chernoff's bound on the binomial tail; at least nine of ten documents must be toxic.
         if share >= 0.9 and share > rate:
-            tail = -n * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0))
+            tail = -(k + others) * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0))
             if tail < bound:
                 out.add(word)
     return out
@@ -84,21 +125,31 @@ class Chain:
         self.weight = np.zeros(BUCKETS)
         self.move = np.array([[0.0, 0.0], [0.0, 0.0]])
         self.scale = np.array([0.0, 0.0, 0.0])
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, float, float]] = {}
+
+    def emission(self, words: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Log odds of each raw word of lines that stand one after the other.
 
-    def emission(self, words: list[str]) -> np.ndarray:
-        """Log odds of each raw word; remembered, as they depend on the word alone."""
+        What a word brings to itself and to its two neighbours depends on the word alone and is remembered.
+        """
         known = self.known
         got = list(map(known.get, words))
+        weight = self.weight.item
         if None in got:
             if len(known) > EMISSION_CACHE:
                 known.clear()
-            weight = self.weight.item
             for k, g in enumerate(got):
                 if g is None:
-                    w = words[k]
-                    got[k] = known[w] = sum(map(weight, features(normal(w))))
-        return np.array(got)
+                    w = normal(words[k])
+                    behind, before = context(w)
+                    got[k] = known[words[k]] = (sum(map(weight, features(w))), weight(behind), weight(before))
+        own, behind, before = np.array(got).T
+        ends = np.cumsum(lengths)
+        first, last = ends - lengths, ends - 1
+        border = context(BORDER)
+        previous, following = np.roll(behind, 1), np.roll(before, -1)
+        previous[first], following[last] = weight(border[0]), weight(border[1])
+        return own + previous + following
 
     def marginals(self, odds: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log odds of the toxic state at each place of padded sequences; the forward and backward parts too."""
@@ -127,7 +178,8 @@ class Chain:
             gold, mask = np.zeros((len(own), most)), np.zeros((len(own), most), bool)
             for r, k in enumerate(own):
                 n = len(lines[k])
-                feats[r, :n] = [features(w) for w in lines[k]]
+                around = [context(w) for w in (BORDER, *lines[k], BORDER)]
+                feats[r, :n] = [[*features(w), around[t][0], around[t + 2][1]] for t, w in enumerate(lines[k])]
                 gold[r, :n], mask[r, :n] = tags[k], True
             groups.append((feats, gold, mask, mask.sum(axis=1)))
         tokens = sum(int(m.sum()) for _, _, m, _ in groups)
@@ -181,7 +233,7 @@ class Chain:
             lengths = np.array([len(lines[k]) for k in own])
             mask = np.arange(lengths[-1]) < lengths[:, None]
             odds = np.zeros(mask.shape)
-            odds[mask] = self.emission([w for k in own for w in lines[k]])
+            odds[mask] = self.emission([w for k in own for w in lines[k]], lengths)
             both = np.where(mask, np.clip(self.marginals(odds, lengths)[0], -20, 20), -40.0)
             top, mass = both.max(axis=1), (1 / (1 + np.exp(-both))).sum(axis=1)
             for r, k in enumerate(own):
@@ -192,17 +244,22 @@ class Chain:
             at = end
         return [(a, b, sorted(c)) for a, b, c in out]
 
-    def scored(self, top: float, mass: float, words: int) -> float:
+    def scored(self, top: float, mass: float) -> float:
         a, b, c = self.scale
         z = a * top + b * math.log1p(mass) + c
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(texts: list[str], labels: list[int]) -> Chain:
-    """Fits the chain and the two-weight calibration; without both labels every score is 0."""
+def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), most_lines: int = TRAIN_LINES) -> Chain:
+    """Fits the chain and the two-weight calibration; without both labels every score is 0.
+
+    ``weights`` say how many labelled rows a clean and a toxic text stand for. The chain learns from
+    at most ``most_lines`` lines (pieces of SEGMENT words of longer ones), those with marked tokens
+    first and else those with the least hash; the calibration uses all texts.
+    """
     chain = Chain()
     chain.scale = np.array([0.0, 0.0, -30.0])
-    marked = lexicon([[s for w in {normal(w) for w in t.split()} for s in stems(w)] for t in texts], labels)
+    marked = lexicon([[normal(w) for w in t.split()] for t in texts], labels, weights)
     if not marked:
         return chain
     hot, cold = [], []
@@ -213,17 +270,19 @@ def train(texts: list[str], labels: list[int]) -> Chain:
                 part = own[at : at + SEGMENT]
                 tags = [int(label and not marked.isdisjoint(stems(w))) for w in part]
                 (hot if any(tags) else cold).append((part, tags))
-    hot = sorted(hot, key=lambda x: zlib.crc32(" ".join(x[0]).encode()))[: TRAIN_LINES // 2]
-    cold = sorted(cold, key=lambda x: zlib.crc32(" ".join(x[0]).encode()))[: TRAIN_LINES - len(hot)]
+    hot = sorted(hot, key=lambda x: zlib.crc32(" ".join(x[0]).encode()))[: most_lines // 2]
+    cold = sorted(cold, key=lambda x: zlib.crc32(" ".join(x[0]).encode()))[: most_lines - len(hot)]
     chain.fit([a for a, _ in hot + cold], [b for _, b in hot + cold])
     raw = chain.raw(texts)
     x = np.array([[a, math.log1p(b), 1.0] for a, b, _ in raw])
     y = np.array(labels, float)
+    stands = np.where(y == 1, weights[1], weights[0])
+    stands = stands / stands.mean()
     w = np.zeros(3)
     ridge = np.diag([0.05, 0.05, 0.01])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (stands * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (stands * (y - p)) - ridge @ w)
         w += np.clip(step, -2, 2)
     chain.scale = w
     chain.known = {}
@@ -234,15 +293,21 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other: int = TRAIN_OTHER) -> tuple[list[str], list[int]]:
-    """At most ``toxic`` and ``other`` labelled texts, those with the smallest hash of doc_id; never held-out ones."""
+def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other: int = TRAIN_OTHER, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int], tuple[float, float]]:
+    """At most ``toxic`` and ``other`` labelled texts, those with the smallest hash of doc_id, and what each stands for.
+
+    Never held-out ones, and none of more than ``chars`` characters, so what reaches the driver is
+    bounded; with the labels, the weights of a clean and of a toxic text.
+    """
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_label")).where(~held_out(F.col("doc_id")))
     some = [own.where(F.col("_label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic), (0, other))]
     chosen = some[0].unionAll(some[1])
     # Bounded by the two parameters, so it may be broadcast whatever the corpus.
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
+    found = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
     rows = sorted((r.doc_id, r.text, r._label) for r in found.toLocalIterator())
-    return [t for _, t, _ in rows], [k for _, _, k in rows]
+    texts, marks = [t for _, t, _ in rows], [k for _, _, k in rows]
+    n = {r._label: r.n for r in own.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    return texts, marks, tuple(n.get(k, 0) / max(1, marks.count(k)) for k in (0, 1))
 
 
 RESULT = "score double, predicted int, n_spans long, spans string"
@@ -263,7 +328,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
             texts = batch.column("_text").to_pylist()
             scores, spans = [], []
             for text, (top, mass, places) in zip(texts, chain.raw(texts, spans=True), strict=True):
-                scores.append(chain.scored(top, mass, len(text)))
+                scores.append(chain.scored(top, mass))
                 at = [m.span() for m in re.finditer(r"\S+", text)] if places else []
                 spans.append([f"{at[p][0]}:{at[p][1]}" for p in places])
             columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(list(map(len, spans)), pa.int64()), pa.array([",".join(s) for s in spans], pa.string())]
