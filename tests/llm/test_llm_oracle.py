@@ -55,3 +55,47 @@ def test_simhash_equals_brute_force(spark, docs):
                 root = {k: low if v == high else v for k, v in root.items()}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op6_simhash"](spark, SF).collect()}
     assert got == {i: (f"{prints[i]:016x}", root[i]) for i in ids} and len(set(root.values())) < len(ids)
+
+
+def _plain_mcd(x):
+    """Centre and covariance of the half with the least determinant, by concentration from the same first halves."""
+    n, p = x.shape
+    h = (n + p + 1) // 2
+    floor = np.array([quality.FLOORS[s] * quality.SCALE for s in quality.STATS]) ** 2
+    low = lambda v: np.sort(v, axis=0)[-(-n // 2) - 1]
+    middle = low(x)
+    z = np.abs(x - middle) / np.sqrt((low(np.abs(x - middle)) * 1.4826) ** 2 + floor)
+    ends = []
+    for d in ((z * z).sum(1), z.sum(1), z.max(1)):
+        last = None
+        for _ in range(100):
+            half = x[d <= np.sort(d)[min(h, n) - 1] * (1 + 1e-12) + 1e-12]
+            mean = half.mean(0)
+            cov = (half.T @ half / len(half) - np.outer(mean, mean)) / 0.43 + np.diag(floor)
+            det = np.linalg.slogdet(cov)[1]
+            if last is not None and abs(det - last) < 1e-9:
+                break
+            last = det
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        ends.append((round(det, 6), len(ends), mean, cov))
+    return min(ends, key=lambda e: e[:2])[2:]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_verdicts_equal_a_plain_mcd(spark, sf):
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()}
+    groups, got = {}, QUERIES["op4_quality_rules"](spark, f"/root/testdata/{sf}").collect()
+    for r in got:
+        if not r.base_failed:
+            lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text[r.doc_id].split("\n"))
+            v = (np.log((r.word_chars + 500) / (r.n_words + 100)), np.log1p(100 * r.n_symbols / (r.word_chars + 500)), r.n_repeat_words / (r.n_words + 100), r.n_dup_lines / (lines + 20))
+            groups.setdefault((r.lang, r.source), []).append((r, [round(c * quality.SCALE) for c in v]))
+    rejected, off = 0, 0
+    for rows_ in groups.values():
+        x = np.array([v for _, v in rows_], float)
+        mean, cov = _plain_mcd(x)
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        for (r, _), far in zip(rows_, d, strict=True):
+            off += r.kept != (far <= quality.CUTOFF)
+            rejected += not r.kept
+    assert rejected > 0 and off == 0
