@@ -1,32 +1,29 @@
 """SimHash near-duplicates by a segment-popcount embedding and a grid range-join.
 
-A fingerprint's 64 bits are cut into segments; the vector of the segments' bit counts embeds it so
-that the Manhattan distance of two vectors is never more than the Hamming distance of the
-fingerprints. The vector is kept in unary (each segment's ones moved to its low end), so that the
-Manhattan distance is itself a bit count. Its axes form groups: two vectors within distance d
-differ in at most d groups, so they share a cell of the grid that leaves some d groups out. Joining
-on those cells finds every pair in range; Manhattan, then Hamming distance verify it.
+A fingerprint's 64 bits are cut into 16 segments of four; the vector of the segments' bit counts
+embeds it so that the Manhattan distance of two vectors is never more than the Hamming distance of
+the fingerprints. The grid's cells are the vectors themselves, and each fingerprint goes to its own
+cell and to the 32 at distance one: two vectors within distance two, and no others, have a cell in
+common. Fingerprints that share a cell are verified exactly, by the values around them: two lie
+within two bits exactly if some value lies within one bit of both. Joining through the least holder
+of such a value links all that hold it, so no step forms pairs within a group, however large.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, map_arrow, materialise, shingle_hashes
+from .common import components, discard, join_hot, map_arrow, materialise, shingle_hashes
 from .shingles import similar
 
 BITS = 64
-SEGMENT = 2
-LOW = 0x5555555555555555
-HIGH = 0xAAAAAAAAAAAAAAAA
+SEGMENT = 4
 CHUNK = 1 << 15
-HOT_CELL = 512
 
 
 def _signed(x: int) -> int:
@@ -55,50 +52,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def embedding(fp: Column) -> Column:
-    """Bit counts of the two-bit segments in unary: 00, 01 or 11."""
-    some = fp.bitwiseOR(F.shiftrightunsigned(fp, 1)).bitwiseAND(F.lit(LOW))
-    both = fp.bitwiseAND(F.shiftleft(fp, 1)).bitwiseAND(F.lit(_signed(HIGH)))
-    return some.bitwiseOR(both)
+    """The bit counts of the segments, each plus one, in a long's groups of four bits: 1 to 5, so steps of one never carry."""
+    counts = [F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(15))).cast("long") + 1 for at in range(0, BITS, SEGMENT)]
+    packed = counts[0]
+    for k, count in enumerate(counts[1:], 1):
+        packed = packed.bitwiseOR(F.shiftleft(count, SEGMENT * k))
+    return packed
 
 
-def cells(distance: int = 2, groups: int = 5) -> list[int]:
-    """Masks over the embedding, each leaving ``distance`` groups of axes out."""
-    axes = BITS // SEGMENT
-    edges = [round(axes * g / groups) * SEGMENT for g in range(groups + 1)]
-    mask = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [_signed(sum(m)) for m in combinations(mask, groups - distance)]
+def cells(vector: Column) -> Column:
+    """The cells within Manhattan distance one of a vector."""
+    steps = [F.lit(1 << at).cast("long") for at in range(0, BITS, SEGMENT)]
+    return F.array(vector, *(vector + s for s in steps), *(vector - s for s in steps))
 
 
-def links(prints: DataFrame, distance: int = 2, groups: int = 5) -> DataFrame:
-    """(a, b) links between distinct fingerprints whose closure is that of all pairs within the distance.
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b) links between distinct fingerprints whose closure is that of all pairs within two bits.
 
-    ``prints`` has a column fp of distinct values. A cell with up to HOT_CELL fingerprints is joined
-    with itself. The members of a fuller cell are instead linked through midpoints: two values are
-    within distance 2 exactly if some value lies within 1 of both, so each emits the 65 values
-    around it and the smallest member of each such group links to the others. That loses no
-    connection and stays in proportion to the members.
+    ``prints`` has a column fp of distinct values.
     """
-    masks = cells(distance, groups)
-    if distance != 2:
-        raise ValueError("midpoints are made for distance 2")
-    vector = embedding(F.col("fp"))
-    keyed = materialise(prints.select("fp", F.posexplode(F.array(*(vector.bitwiseAND(F.lit(m)) for m in masks))).alias("grid", "cell")))
-    sizes = keyed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    found = materialise(keyed.join(sizes, ["grid", "cell"]))
-    left = found.where(F.col("n") <= HOT_CELL).select("grid", "cell", F.col("fp").alias("a"))
-    right = left.withColumnRenamed("a", "b")
-    lower = F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b"))))
-    exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    near = left.join(right, ["grid", "cell"]).where((F.col("a") < F.col("b")) & (lower <= distance) & (exact <= distance)).select("a", "b")
-    hot = found.where(F.col("n") > HOT_CELL).select("fp").distinct()
+    vectors = prints.select("fp", embedding(F.col("fp")).alias("vector"))
+    keyed = materialise(vectors.select("fp", F.explode(cells(F.col("vector"))).alias("cell")))
+    shared = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    likely = materialise(keyed.join(shared, "cell").select("fp").distinct())
+    discard(keyed)
     around = F.explode(F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << k)) for k in range(BITS)))).alias("flip")
-    ball = hot.select("fp", around).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
+    ball = likely.select("fp", around).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     middle = ball.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    star = ball.join(middle, "mid").select("a", F.col("fp").alias("b")).where("a < b")
-    return near.unionAll(star).distinct()
+    return ball.join(middle, "mid").select("a", F.col("fp").alias("b")).where("a < b").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, groups: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id for each row.
 
     component_id is the smallest doc_id that links reach, a row's own included. Equal fingerprints
@@ -110,18 +94,23 @@ def near_duplicates(docs: DataFrame, distance: int = 2, groups: int = 5) -> Data
     rows = materialise(fingerprints(docs))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = materialise(distinct)
-    roots = components(links(nodes.select("fp"), distance, groups))
+    roots = components(links(nodes.select("fp")))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     named = materialise(joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "copies", "component_id"))
     return join_hot(rows, named, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group of near copies.
+    """One row of each group of near copies: the one with the smallest doc_id, whatever its other columns.
 
     Near copies are texts whose sets of runs of ``size`` words have a Jaccard similarity of
-    ``share`` or more, see ``shingles.similar``. Rows with a null doc_id, or with the doc_id that
-    stays, all stay.
+    ``share`` or more, see ``shingles.similar``. Decided row by row: of rows that share a doc_id each
+    is judged by its own text, repeated rows leave one, and of rows without a doc_id one stays where
+    its group has no other. Among equal ids the text with the least hash stays.
     """
-    gone = similar(docs, size, share).where("doc_id <> component_id").select("doc_id")
-    return docs.join(materialise(gone), "doc_id", "left_anti").select(*docs.columns)
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    rows = materialise(packed.withColumn("_at", F.monotonically_increasing_id()))
+    groups = materialise(similar(rows.select(F.col("_at").alias("doc_id"), "text"), size, share).withColumnsRenamed({"doc_id": "_at", "component_id": "_group"}))
+    named = rows.select("_at", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_at").alias("_first")).join(groups, "_at")
+    stays = named.groupBy("_group").agg(F.min("_first").alias("_first")).select(F.col("_first._at").alias("_at"))
+    return rows.join(materialise(stays), "_at", "left_semi").select("_row.*")

@@ -12,6 +12,7 @@ import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakeward.llm import bpe, bwtdedup, chat, common, decontaminate, linededup, quality, secrets, simhash, tokencount, toxicity
 
@@ -158,11 +159,30 @@ def test_simhash_links_equal_brute_force(spark):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    for hot in (512, 0):
-        simhash.HOT_CELL, kept = hot, simhash.HOT_CELL
-        got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
-        simhash.HOT_CELL = kept
-        assert all(got.get(p, p) == find(p) for p in prints)
+    got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    assert all(got.get(p, p) == find(p) for p in prints)
+
+
+def test_cells_meet_within_distance_two(spark):
+    rnd = random.Random(11)
+    prints = [0, -1, 1, simhash._signed(1 << 63)] + [simhash._signed(rnd.getrandbits(64)) for _ in range(20)]
+    prints += [simhash._signed((p & (2**64 - 1)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64))) for p in prints]
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    vector = lambda p: [((p & (2**64 - 1)) >> at & 15).bit_count() for at in range(0, 64, 4)]
+    cells = {r.fp: set(r.c) for r in df.select("fp", simhash.cells(simhash.embedding(F.col("fp"))).alias("c")).collect()}
+    for a in prints:
+        for b in prints:
+            near = sum(abs(x - y) for x, y in zip(vector(a), vector(b), strict=True)) <= 2
+            assert near == bool(cells[a] & cells[b])
+
+
+def test_near_dedup_decides_by_row(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(3, y, "a"), (5, y, "b"), (5, x, "c"), (5, x, "c"), (None, x, "d"), (None, "alone in this text", "e"), (None, None, "f"), (7, "", "g")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _at string"))
+    assert got.columns == ["doc_id", "text", "_at"]
+    assert sorted(r["_at"] for r in got.collect()) == ["a", "c", "e", "g"]
+    assert simhash.keep_one(got.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("hot", [64, 1])
