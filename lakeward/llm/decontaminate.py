@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import discard, map_arrow, materialise
 
 BLOCK = 8
 BANDS = 64
@@ -61,7 +61,9 @@ def _runs(terms: list[str], size: int) -> set[tuple[str, ...]]:
 @dataclass(frozen=True)
 class Settings:
     """``share``: the part of an item's score against itself that a passage must reach.
-    ``overlap``: the part of the question's and of the answer's word runs that must occur in it."""
+    ``overlap``: the part of the question's and of the answer's words that must lie in runs that occur in it.
+    ``run``: the most words of such a run; shorter sides take a sixth of their words, one at least, so
+    that one changed word, which costs a run's length at most, leaves a side of five words or more found."""
 
     share: float = 0.6
     overlap: float = 0.8
@@ -73,17 +75,17 @@ class Settings:
 class Index:
     """Postings of one shard of items. Scores are divided by what the item requires, so 1 is enough."""
 
-    def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean_length: float, settings: Settings):
+    def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean_length: float, settings: Settings, longest: int = 1):
         self.settings = settings
         items = sorted(items, key=lambda x: (len(x[1]), x[0]))
         self.items = [i for i, _ in items]
         self.sides = []
-        self.longest = 1
+        self.longest = longest
         found: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for at, (_, text) in enumerate(items):
             terms = terms_of(text)
             self.longest = max(self.longest, len(terms))
-            self.sides.append([(len(s), _runs(s, settings.run)) for s in question_and_answer(text) if s])
+            self.sides.append([(max(1, min(settings.run, len(s) // 6)), s) for s in question_and_answer(text) if s])
             tf: dict[str, int] = defaultdict(int)
             for t in terms:
                 tf[t] += 1
@@ -156,14 +158,18 @@ class Index:
         return out
 
     def verified(self, item: int, terms: list[str]) -> float:
-        """The smaller overlap of question and answer with the passage."""
+        """The smaller overlap of question and answer with the passage: the part of their words in runs that it holds."""
         runs: dict[int, set] = {}
         least = 1.0
-        for length, wanted in self.sides[item]:
-            size = max(1, min(self.settings.run, length))
+        for size, side in self.sides[item]:
             if size not in runs:
-                runs[size] = _runs(terms, size) if len(terms) >= size else set()
-            least = min(least, len(wanted & runs[size]) / len(wanted))
+                runs[size] = _runs(terms, size)
+            covered, upto = 0, 0
+            for k, run in enumerate(zip(*(side[i:] for i in range(size)), strict=False)):
+                if run in runs[size]:
+                    covered += k + size - max(k, upto)
+                    upto = k + size
+            least = min(least, covered / len(side))
         return least
 
 
@@ -212,7 +218,7 @@ class Searcher:
     def search(self, text: str) -> tuple[int, int, dict[int, float]]:
         """Passages, retrieved pairs, and the verified items with their best overlap."""
         words, step = text.split(), self.index.longest
-        if not words:
+        if not words or not self.index.items:
             return 0, 0, {}
         ids = self._terms(words)
         hits = 0
@@ -232,12 +238,15 @@ class Searcher:
 RESULT = "n_passages long, n_retrieved long, items array<long>, contaminated boolean, overlap double"
 
 
-def shards(items: DataFrame, settings: Settings, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
-    """The index in shards of about ``shard_bytes`` of text; statistics are those of all items."""
+def shards(items: DataFrame, settings: Settings, shard_bytes: int = SHARD_BYTES) -> tuple[int, Iterator[Index]]:
+    """The number of shards of about ``shard_bytes`` of text, and their indexes one after the other.
+
+    Statistics and the passages' length are those of all items; the driver holds one shard at a time.
+    """
     rows = materialise(items.select(F.col("item_id").cast("long").alias("item_id"), F.trim("text").alias("text")).where("text is not null and text <> '' and item_id is not null").distinct())
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not size.n:
-        return
+        return 0, iter(())
     parts = -(-size.bytes // shard_bytes)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +255,20 @@ def shards(items: DataFrame, settings: Settings, shard_bytes: int = SHARD_BYTES)
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(terms, pa.list_(pa.string()))], ["item_id", "terms"])
 
     terms = materialise(map_arrow(rows, split, "item_id long, terms array<string>"))
-    mean = terms.agg(F.avg(F.size("terms"))).first()[0]
-    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    for k in range(parts):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k
-        of = terms.where(mine).select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
-        counts = {r.term: r.df for r in df.join(of, "term", "left_semi").toLocalIterator()}
-        found = sorted((r.item_id, r.text) for r in rows.where(mine).toLocalIterator())
-        if found:
-            yield Index(found, counts, size.n, mean, settings)
+    mean, longest = terms.agg(F.avg(F.size("terms")), F.max(F.size("terms"))).first()
+    df = materialise(terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+
+    def each() -> Iterator[Index]:
+        for k in range(parts):
+            mine = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k
+            of = terms.where(mine).select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
+            counts = {r.term: r.df for r in df.join(of, "term", "left_semi").toLocalIterator()}
+            found = sorted((r.item_id, r.text) for r in rows.where(mine).toLocalIterator())
+            if found:
+                yield Index(found, counts, size.n, mean, settings, longest)
+        discard(rows, terms, df)
+
+    return parts, each()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -262,9 +276,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
     verified ones, in order), contaminated and overlap (the best verified one, 0 of none) per row.
 
     ``keep`` lists other columns to carry along. The index goes to the executors in shards of at
-    most ``SHARD_BYTES`` of item text, one after the other; with a single shard all is one pass over
-    the texts. A null text has no passages; null or empty items are left out; without items nothing
-    is contaminated; repeated rows give repeated rows, an empty table gives an empty one.
+    most about ``SHARD_BYTES`` of item text, one after the other, and only one is held at a time;
+    with a single shard all is one pass over the texts. A null text has no passages; null or empty
+    items are left out; without items there are no passages and nothing is contaminated; repeated rows give repeated rows, an empty table gives an empty one.
     """
     settings, spark = settings or Settings(), docs.sparkSession
     names = [x.split()[0] for x in RESULT.split(", ")]
@@ -272,9 +286,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
     rows = docs.select(*carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
-    def scan(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-
+    def scan(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(shared.value)
             for batch in batches:
@@ -290,14 +302,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
 
         return map_arrow(rows, run, f"{fields}, {RESULT}")
 
-    parts = list(shards(items, settings))
-    if len(parts) <= 1:
-        return scan(parts[0] if parts else Index([], {}, 0, 1.0, settings))
+    parts, indexes = shards(items, settings)
+    if parts <= 1:
+        found = list(indexes)
+        return scan(spark.sparkContext.broadcast(found[0] if found else Index([], {}, 0, 1.0, settings)))
     # Several shards: each row's key stands for it, and what the shards find for equal rows is the same.
     rows = rows.withColumn("_key", F.xxhash64("_text"))
     carried.append("_key")
     fields += ", _key long"
-    each = [materialise(scan(index)) for index in parts]
+    each = []
+    for k, index in enumerate(indexes):
+        shared = spark.sparkContext.broadcast(index)
+        each.append(materialise(scan(shared).drop(*[c for c in carried if c not in ("doc_id", "_key")]).withColumn("_shard", F.lit(k))))
+        shared.destroy()
+        del index
     found = each[0]
     for more in each[1:]:
         found = found.unionAll(more)
