@@ -1,10 +1,11 @@
 """SimHash near-duplicates by a segment-popcount embedding and a grid range-join.
 
-A fingerprint's 64 bits are cut into 16 segments of four; the vector of the segments' bit counts
+A fingerprint's 64 bits are cut into segments of three; the vector of the segments' bit counts
 embeds it so that the Manhattan distance of two vectors is never more than the Hamming distance of
 the fingerprints. The grid's cells are the vectors themselves, and each fingerprint goes to its own
-cell and to the 32 at distance one: two vectors within distance two, and no others, have a cell in
-common. Fingerprints that share a cell are verified exactly, by the values around them: two lie
+cell and to those at distance one: two vectors within distance two, and no others, have a cell in
+common (a step from one towards the other). Wider segments would make fewer cells that unrelated
+fingerprints meet in, of four bits so few that those grow with the square of the input. Fingerprints that share a cell are verified exactly, by the values around them: two lie
 within two bits exactly if some value lies within one bit of both. Joining through the least holder
 of such a value links all that hold it, so no step forms pairs within a group, however large.
 """
@@ -22,7 +23,7 @@ from .common import components, discard, join_hot, map_arrow, materialise, shing
 from .shingles import similar
 
 BITS = 64
-SEGMENT = 4
+SEGMENT = 3
 CHUNK = 1 << 15
 
 
@@ -51,19 +52,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, _fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+SEGMENTS = [(at, min(SEGMENT, BITS - at)) for at in range(0, BITS, SEGMENT)]
+
+
+def _count(fp: Column, at: int, width: int) -> Column:
+    return F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))).cast("long")
+
+
 def embedding(fp: Column) -> Column:
-    """The bit counts of the segments, each plus one, in a long's groups of four bits: 1 to 5, so steps of one never carry."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(15))).cast("long") + 1 for at in range(0, BITS, SEGMENT)]
-    packed = counts[0]
-    for k, count in enumerate(counts[1:], 1):
-        packed = packed.bitwiseOR(F.shiftleft(count, SEGMENT * k))
+    """The segments' bit counts, 0 to 3 each, in pairs of bits of a long."""
+    packed = F.lit(0).cast("long")
+    for k, (at, width) in enumerate(SEGMENTS):
+        packed = packed.bitwiseOR(F.shiftleft(_count(fp, at, width), 2 * k))
     return packed
 
 
 def cells(vector: Column) -> Column:
-    """The cells within Manhattan distance one of a vector."""
-    steps = [F.lit(1 << at).cast("long") for at in range(0, BITS, SEGMENT)]
-    return F.array(vector, *(vector + s for s in steps), *(vector - s for s in steps))
+    """The vector and those one step from it in which every count is still one of its segment's."""
+    near = [vector]
+    for k, (_, width) in enumerate(SEGMENTS):
+        count, step = F.shiftrightunsigned(vector, 2 * k).bitwiseAND(F.lit(3)), F.lit(1 << (2 * k)).cast("long")
+        near += [F.when(count < width, vector + step), F.when(count > 0, vector - step)]
+    return F.array_compact(F.array(*near))
 
 
 def links(prints: DataFrame) -> DataFrame:

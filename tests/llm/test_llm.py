@@ -168,7 +168,7 @@ def test_cells_meet_within_distance_two(spark):
     prints = [0, -1, 1, simhash._signed(1 << 63)] + [simhash._signed(rnd.getrandbits(64)) for _ in range(20)]
     prints += [simhash._signed((p & (2**64 - 1)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64))) for p in prints]
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    vector = lambda p: [((p & (2**64 - 1)) >> at & 15).bit_count() for at in range(0, 64, 4)]
+    vector = lambda p: [((p & (2**64 - 1)) >> at & 7).bit_count() for at in range(0, 64, 3)]
     cells = {r.fp: set(r.c) for r in df.select("fp", simhash.cells(simhash.embedding(F.col("fp"))).alias("c")).collect()}
     for a in prints:
         for b in prints:
@@ -331,12 +331,30 @@ def test_wand_equals_full_scores_and_leaks_are_found(spark):
     frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     got = {r.doc_id: (r.contaminated, list(r["items"])) for r in decontaminate.find_leaks(*frames).collect()}
     assert got == {i: (i < 5, [i] if i < 5 else []) for i in range(30)}
-    kept, decontaminate.SHARD_BYTES = decontaminate.shards.__defaults__, 0
+    whole = {tuple(map(str, r)) for r in decontaminate.find_leaks(*frames).collect()}
+    kept = decontaminate.shards.__defaults__
     decontaminate.shards.__defaults__ = (2000,)
-    again = {r.doc_id: (r.contaminated, list(r["items"])) for r in decontaminate.find_leaks(*frames).collect()}
+    again = {tuple(map(str, r)) for r in decontaminate.find_leaks(*frames).collect()}
     decontaminate.shards.__defaults__ = kept
-    decontaminate.SHARD_BYTES = 4 << 20
-    assert again == got
+    assert again == whole
+    none = decontaminate.find_leaks(frames[0], frames[1].limit(0)).collect()
+    assert len(none) == 30 and not any(r.contaminated or r.n_passages for r in none)
+
+
+def test_one_changed_word_is_still_found(spark):
+    rows = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect() if r.text]
+    df = Counter(t for _, x in rows for t in set(decontaminate.terms_of(x)))
+    lengths = [len(decontaminate.terms_of(x)) for _, x in rows]
+    index = decontaminate.Index(rows, df, len(rows), sum(lengths) / len(rows), decontaminate.Settings())
+    searcher, rnd, tried, found = decontaminate.Searcher(index), random.Random(2), 0, 0
+    for _, text in rows:
+        words = text.split()
+        for at in rnd.sample(range(len(words)), min(5, len(words))):
+            around = [f"pad{k}" for k in range(40)]
+            changed = " ".join([*around, *words[:at], "otherword", *words[at + 1 :], *around])
+            tried += 1
+            found += any(index.items[i] == item for i in searcher.search(changed)[2] for item, t in rows if t == text)
+    assert found >= 0.9 * tried
 
 
 def test_toxicity_on_held_out_rows(spark):
