@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,10 @@ SEGMENT = 64
 STEMS = (5, 6, 7, 8)
 EMISSION_CACHE = 400_000
 _EDGE = re.compile(r"^\W+|\W+$")
+#: Kinds of features, as the states from which their hashes start.
+_WORD, _END, _BEHIND, _BEFORE = (crc32(k) for k in (b"w:", b"s:", b"p:", b"n:"))
+_STEM = [(n, crc32(f"{n}:".encode())) for n in STEMS]
+_OTHERS = BUCKETS - 1
 
 
 def normal(word: str) -> str:
@@ -53,13 +57,18 @@ def stems(word: str) -> list[str]:
 
 def features(word: str) -> list[int]:
     """Hashed features of a token: a bias, the word, its beginnings (as many for each) and its end."""
-    named = [f"w:{word}", *(f"{n}:{word[:n]}" for n in STEMS), f"s:{word[-4:]}"]
-    return [0, *(1 + zlib.crc32(f.encode()) % (BUCKETS - 1) for f in named)]
+    raw, size = word.encode(), len(word)
+    out = [0, 1 + crc32(raw, _WORD) % _OTHERS]
+    for n, seed in _STEM:
+        out.append(1 + crc32(raw if size <= n else word[:n].encode(), seed) % _OTHERS)
+    out.append(1 + crc32(raw if size <= 4 else word[-4:].encode(), _END) % _OTHERS)
+    return out
 
 
 def context(word: str) -> tuple[int, int]:
     """Hashed features of a word to the token behind it and to the one before it."""
-    return tuple(1 + zlib.crc32(f"{side}:{word}".encode()) % (BUCKETS - 1) for side in "pn")
+    raw = word.encode()
+    return 1 + crc32(raw, _BEHIND) % _OTHERS, 1 + crc32(raw, _BEFORE) % _OTHERS
 
 
 WIDTH = len(features("")) + 2
@@ -78,7 +87,7 @@ def families(texts: list[list[str]]) -> list[int]:
 
     holders: dict[int, list[int]] = {}
     for k, words in enumerate(texts):
-        own = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:SKETCH]
+        own = sorted({crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:SKETCH]
         shared = Counter(j for h in own for j in holders.get(h, ()))
         for j, n in shared.items():
             if 2 * n >= len(own):
@@ -125,7 +134,12 @@ class Chain:
         self.weight = np.zeros(BUCKETS)
         self.move = np.array([[0.0, 0.0], [0.0, 0.0]])
         self.scale = np.array([0.0, 0.0, 0.0])
-        self.known: dict[str, tuple[float, float, float]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words; rows of ``table`` are what a word brings to itself and its neighbours."""
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, 3))
 
     def emission(self, words: list[str], lengths: np.ndarray) -> np.ndarray:
         """Log odds of each raw word of lines that stand one after the other.
@@ -137,13 +151,20 @@ class Chain:
         weight = self.weight.item
         if None in got:
             if len(known) > EMISSION_CACHE:
-                known.clear()
+                self.forget()
+                known, got = self.known, [None] * len(words)
             for k, g in enumerate(got):
                 if g is None:
-                    w = normal(words[k])
-                    behind, before = context(w)
-                    got[k] = known[words[k]] = (sum(map(weight, features(w))), weight(behind), weight(before))
-        own, behind, before = np.array(got).T
+                    at = known.get(words[k])
+                    if at is None:
+                        at = known[words[k]] = len(known)
+                        if at == len(self.table):
+                            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                        w = normal(words[k])
+                        behind, before = context(w)
+                        self.table[at] = sum(map(weight, features(w))), weight(behind), weight(before)
+                    got[k] = at
+        own, behind, before = self.table[got].T
         ends = np.cumsum(lengths)
         first, last = ends - lengths, ends - 1
         border = context(BORDER)
@@ -270,8 +291,8 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
                 part = own[at : at + SEGMENT]
                 tags = [int(label and not marked.isdisjoint(stems(w))) for w in part]
                 (hot if any(tags) else cold).append((part, tags))
-    hot = sorted(hot, key=lambda x: zlib.crc32(" ".join(x[0]).encode()))[: most_lines // 2]
-    cold = sorted(cold, key=lambda x: zlib.crc32(" ".join(x[0]).encode()))[: most_lines - len(hot)]
+    hot = sorted(hot, key=lambda x: crc32(" ".join(x[0]).encode()))[: most_lines // 2]
+    cold = sorted(cold, key=lambda x: crc32(" ".join(x[0]).encode()))[: most_lines - len(hot)]
     chain.fit([a for a, _ in hot + cold], [b for _, b in hot + cold])
     raw = chain.raw(texts)
     x = np.array([[a, math.log1p(b), 1.0] for a, b, _ in raw])
@@ -285,7 +306,7 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
         step = np.linalg.solve((x * (stands * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (stands * (y - p)) - ridge @ w)
         w += np.clip(step, -2, 2)
     chain.scale = w
-    chain.known = {}
+    chain.forget()
     return chain
 
 
