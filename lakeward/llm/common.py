@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
@@ -26,7 +28,7 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -57,9 +59,24 @@ def materialise(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(table)
     return table
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The list of all tables that ``materialise`` makes inside, to ``discard`` when their result is written."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        _SCRATCH.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``materialise`` that no plan still to be run reads."""
     for table in tables:
@@ -83,6 +100,11 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) ->
     return common.unionByName(rows.join(F.broadcast(hot), keys))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one, so that no name of the caller's can clash with one of ours; a name may hold dots."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import discard, map_arrow, materialise
+from .common import discard, map_arrow, materialise, whole_row
 
 BLOCK = 8
 BANDS = 64
@@ -283,7 +284,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
     settings, spark = settings or Settings(), docs.sparkSession
     names = [x.split()[0] for x in RESULT.split(", ")]
     carried = [c for c in dict.fromkeys([*(keep or []), "doc_id"]) if c not in names]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
     rows = docs.select(*carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
     def scan(shared) -> DataFrame:
@@ -300,7 +300,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], [*carried, *names])
 
-        return map_arrow(rows, run, f"{fields}, {RESULT}")
+        return map_arrow(rows, run, StructType([*rows.select(*carried).schema.fields, *StructType.fromDDL(RESULT).fields]))
 
     parts, indexes = shards(items, settings)
     if parts <= 1:
@@ -309,7 +309,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
     # Several shards: each row's key stands for it, and what the shards find for equal rows is the same.
     rows = rows.withColumn("_key", F.xxhash64("_text"))
     carried.append("_key")
-    fields += ", _key long"
     each = []
     for k, index in enumerate(indexes):
         shared = spark.sparkContext.broadcast(index)
@@ -327,5 +326,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
 
 def drop_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all of their columns, whatever their names."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    packed = docs.select(whole_row(docs).alias("_row"), "doc_id", "text")
     return find_leaks(packed, items, settings, ["_row"]).where("not contaminated").select("_row.*")

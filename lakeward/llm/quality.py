@@ -16,7 +16,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, whole_row
 
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -215,5 +215,5 @@ def judge(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFr
 
 def keep_good(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all of their columns, whatever their names."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
+    packed = docs.select(whole_row(docs).alias("_row"), "lang", "source", "text")
     return _verdicts(packed, ["_row", "lang", "source"], steps, cutoff).where("kept").select("_row.*")

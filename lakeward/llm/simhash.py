@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, join_hot, map_arrow, materialise, shingle_hashes
+from .common import components, discard, join_hot, map_arrow, materialise, shingle_hashes, whole_row
 from .shingles import similar
 
 BITS = 64
@@ -118,7 +118,7 @@ def keep_one(docs: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
     is judged by its own text, repeated rows leave one, and of rows without a doc_id one stays where
     its group has no other. Among equal ids the text with the least hash stays.
     """
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    packed = docs.select(whole_row(docs).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
     rows = materialise(packed.withColumn("_at", F.monotonically_increasing_id()))
     groups = materialise(similar(rows.select(F.col("_at").alias("doc_id"), "text"), size, share).withColumnsRenamed({"doc_id": "_at", "component_id": "_group"}))
     named = rows.select("_at", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_at").alias("_first")).join(groups, "_at")

@@ -6,10 +6,12 @@ import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 import xxhash
 
-from lakeward.llm import quality
+from lakeward.llm import bpe, decontaminate, quality
 from lakeward.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +101,104 @@ def test_quality_verdicts_equal_a_plain_mcd(spark, sf):
             off += r.kept != (far <= quality.CUTOFF)
             rejected += not r.kept
     assert rejected > 0 and off == 0
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _plain_line_dedup(docs):
+    """Texts by doc_id without the lines that stand earlier, all held against all by plain edit distance."""
+    seen, out = [], {}
+    for i, text in sorted(docs):
+        kept = []
+        for line in text.split("\n"):
+            w = re.findall(r"[^\x20\x09-\x0D]+", line)
+            near = False
+            if len(w) >= 5:
+                bag = {}
+                for x in w:
+                    bag[x] = bag.get(x, 0) + 1
+                for v, other in seen:
+                    most = max(len(v), len(w)) // 5
+                    if abs(len(v) - len(w)) <= most and max(len(v), len(w)) - sum(min(n, bag.get(x, 0)) for x, n in other.items()) <= most and _distance(v, w) <= most:
+                        near = True
+                        break
+                seen.append((w, bag))
+            if not near:
+                kept.append(line)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def _plain_near_dedup(docs):
+    sets = []
+    for _, text in sorted(docs):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return {sorted(docs)[k][0] for k in set(root)}
+
+
+def test_pipeline_stages_equal_plain_python(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = c.quality_rules(spark, docs, SF)
+    verdict = {r.doc_id for r in QUERIES["op4_quality_rules"](spark, SF).collect() if r.kept}
+    assert {r.doc_id for r in kept.collect()} == verdict
+    text = {r.doc_id: r.text for r in kept.collect()}
+    kept = c.line_dedup(spark, kept, SF)
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert got == _plain_line_dedup(list(text.items())) and all(r.n_chars == len(r.text) for r in kept.collect())
+    kept = c.near_dedup(spark, kept, SF)
+    assert {r.doc_id for r in kept.collect()} == _plain_near_dedup(list(got.items()))
+    clean = c.decontamination(spark, kept, SF)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    whole = {r.doc_id for r in kept.collect() if any(" ".join(t.split()) in " ".join(r.text.split()) for _, t in items)}
+    left = {r.doc_id for r in clean.collect()}
+    assert not left & whole
+    for r in kept.collect():
+        if r.doc_id not in left and r.doc_id not in whole:
+            words = set(decontaminate.terms_of(r.text))
+            assert any(len(words & set(decontaminate.terms_of(t))) >= 0.7 * len(set(decontaminate.terms_of(t))) for _, t in items)
+    ranks = bpe.Ranks.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.ids, special_tokens={})
+    ids = {r.doc_id: library.encode_ordinary(r.text) for r in clean.collect()}
+    out = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in c.byte_bpe(spark, clean, SF).collect()}
+    assert out == {k: (len(v), hashlib.sha256(np.array(v, "<u4").tobytes()).hexdigest()) for k, v in ids.items()}
+    assert {r.doc_id for r in c.run(spark, SF).collect()} == set(out)
+
+
+NAMES = ["_d", "_t", "_text", "_lines", "_gone", "_row", "_at", "_group", "_w", "_h", "n_lines", "n_removed", "kept", "node", "items", "fp", "n_words", "_lang", "a.b"]
+
+
+def test_pipeline_stages_take_odd_rows_and_names(spark):
+    import corpus_pipeline as c
+
+    body = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, body, "en", "s"), (1, body, "en", "s"), (2, body + " more", None, None), (None, body, "en", "s"), (None, None, None, None), (3, None, "en", "s"), (4, "", "en", "s"), (5, "x " * 20000 + body, "de", "t"), (5, "one line of its own that stays\n" + " ".join(f"other{k}" for k in range(40)), "en", "s")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in NAMES)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *(f"v{k}" for k in range(len(NAMES)))) for r in rows], schema)
+    for start in (docs, docs.limit(0)):
+        out = start
+        for _, stage in c.STAGES[:4]:
+            each = stage(spark, start, SF)
+            assert each.schema == docs.schema and each.count() <= start.count()
+            out = stage(spark, out, SF)
+            for r in out.collect():
+                assert [r[n] for n in NAMES] == [f"v{k}" for k in range(len(NAMES))]
+        assert c.STAGES[4][1](spark, out, SF).count() == out.count()
+    lines = {(r.doc_id, r.text) for r in c.line_dedup(spark, docs, SF).collect()}
+    assert (3, None) in lines and (4, "") in lines and (None, body) in lines and (2, "") in lines
