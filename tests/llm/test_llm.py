@@ -248,7 +248,9 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == want
 
 
-def test_line_dedup_bound_grows_with_the_line(spark):
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_line_dedup_bound_grows_with_the_line(spark, monkeypatch, crowd):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     rnd = random.Random(13)
 
     def distance(a, b):
