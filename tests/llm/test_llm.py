@@ -285,6 +285,36 @@ def test_line_dedup_bound_grows_with_the_line(spark, monkeypatch, crowd):
     assert got == want and many > 20
 
 
+def test_line_dedup_places_of_ids_far_apart(spark):
+    """Ids whose places don't fit in a number take ranks; two lines at one place leave each other, an earlier one removes both."""
+    words = [f"w{i}" for i in range(20)]
+    line = lambda *edits: " ".join([*words[: 20 - len(edits)], *edits])
+    docs = [(2**62, line("a")), (-(2**62), line("b", "c")), (7, line("d") + "\n" + line("e", "f", "g", "h", "i", "j", "k")), (None, "x"), (9, line("e", "f", "g", "h", "i", "j", "l")), (9, line("e", "f", "g", "h", "i", "j", "m"))]
+    for drop in (0, 1):
+        got = linededup.dedup_lines(spark.createDataFrame(docs[drop * 2 :], "doc_id long, text string")).collect()
+        removed = sorted((str(r.doc_id), r.n_removed) for r in got)
+        assert removed == ([("-4611686018427387904", 0), ("4611686018427387904", 1), ("7", 1)] if not drop else [("7", 0)]) + [("9", 1), ("9", 1), ("None", 0)]
+    tied = linededup.dedup_lines(spark.createDataFrame(docs[4:], "doc_id long, text string")).collect()
+    assert [r.n_removed for r in tied] == [0, 0]
+
+
+def test_line_dedup_runs_travel_as_two_numbers(spark, monkeypatch):
+    """Runs are dealt once a turn, without a sort of all of them, and no table of them has more than four longs."""
+    plans, real = [], linededup.materialise
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df)
+
+    monkeypatch.setattr(linededup, "materialise", seen)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j * (1 + i % 3)}" for j in range(30)) + f" {i}") for i in range(9)], "doc_id long, text string")
+    assert sum(r.n_removed for r in linededup.dedup_lines(docs).collect()) == 6
+    runs = [(c, p) for c, p in plans if "key" in c and "kind" not in c]
+    assert len(runs) == linededup.TURNS + 3
+    assert all(set(c) <= {"key", "id", "e", "c"} for c, _ in runs)
+    assert all("Window" not in p and "Sort " not in p for _, p in runs[: linededup.TURNS])
+
+
 def test_merged_transforms_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(100):
