@@ -315,6 +315,23 @@ def test_line_dedup_runs_travel_as_two_numbers(spark, monkeypatch):
     assert all("Window" not in p and "Sort " not in p for _, p in runs[: linededup.TURNS])
 
 
+def test_line_dedup_lines_without_crowded_words_make_no_runs(spark, monkeypatch):
+    """Lines meet in their rarest words; a line is verified against its likeliest partner, and against the others only if that one is not near."""
+    tables, real = [], linededup.materialise
+    monkeypatch.setattr(linededup, "materialise", lambda df: tables.append(real(df)) or tables[-1])
+    kept, discard = [], linededup.discard
+    monkeypatch.setattr(linededup, "discard", lambda *gone: kept.extend(gone))
+    line = lambda k, *edits: " ".join([*(f"w{k}_{j}" for j in range(40 - len(edits))), *edits])
+    docs = [(i, "\n".join(line(k, *(f"e{i}_{k}_{j}" for j in range(i % 4))) for k in range(6))) for i in range(8)]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 6 * (i > 0) for i in range(8)}
+    assert sum(t.count() for t in tables if t.columns == ["key", "id"]) == 0
+    verified = [t.count() for t in tables if t.columns == ["_h", "_eh"]]
+    lines = len({x for _, text in docs for x in text.split("\n")})
+    assert sum(verified) == lines - 6
+    discard(*kept)
+
+
 def test_merged_transforms_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(100):
