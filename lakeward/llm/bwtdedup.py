@@ -7,8 +7,8 @@ window of LENGTH bytes. Equal strings have equal anchors, so
 1. each text's anchors are dealt by hash, with a hash of all the bytes whose strings they stand for
    (their context); of equal contexts all but those of the smallest document are covered at once;
 2. an anchor that several contexts share is left: its contexts' bytes form shards, whose transforms
-   are merged by refining their interleaving, one more symbol of context a round, for LENGTH rounds.
-   The blocks that the rounds leave unsplit are the intervals of suffixes with a common prefix of
+   are merged by refining their interleaving, two more symbols of context a round, up to LENGTH; a
+   suffix that no other one shares is dropped as soon as that shows. The blocks that the rounds leave unsplit are the intervals of suffixes with a common prefix of
    LENGTH; in each, the suffixes of all but the smallest document start covered strings. No suffix
    of one shard is ever compared with one of another.
 
@@ -36,6 +36,10 @@ BUCKET_BYTES = 6 << 20
 #: Anchors with more contexts than this are split further, by the strings themselves.
 HOT = 4000
 STEP = 8
+#: Pieces that are merged at a time, at least; processors hold the arrays of so many close by.
+PORTION = 1 << 13
+#: Symbols that are sorted at once; a number holds them.
+WORD = 7
 U = np.uint64
 LOW_BYTES = U((1 << 40) - 1)
 _RNG = np.random.default_rng(20)
@@ -203,85 +207,91 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _marks(doc[rest], row[rest], place[rest], 0, grams[rest], REST)
 
 
-def shard_transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order, Burrows-Wheeler transform and LF mapping of pieces that end in ordered sentinels.
+def shard_transform(pieces: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order by ``depth`` symbols or more, Burrows-Wheeler transform and LF mapping of pieces that end in ordered sentinels.
 
     Symbols are bytes plus one (UTF-8 has no byte 255), 0 is a sentinel; the i-th piece's sentinel
-    sorts before the next one's, so all suffixes differ and doubling ends at the longest piece.
+    sorts before the next one's, so suffixes differ where one ends. The first WORD symbols are sorted
+    as one number, then doubling goes on; what is equal to ``depth`` symbols keeps its place.
     """
     text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8) + np.uint8(1)
     n = len(text)
     ends = text == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, len(pieces) + text.astype(np.int64))
-    step = 1
-    order = None
-    while True:
+    key, over = text.astype(np.int64), ends.copy()
+    for k in range(1, min(WORD, n)):
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - k] = text[k:]
+        # Behind its sentinel a suffix has nothing.
+        key = key * 256 + np.where(over, 0, ahead)
+        over[: n - k] |= ends[k:]
+    order = np.argsort(key, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | over[order][1:]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
+    step = WORD
+    while step < min(depth, n) and not new.all():
         behind = np.zeros(n, np.int64)
-        behind[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 258) + behind
+        behind[: n - step] = rank[step:] + 1
+        key = rank * (n + 1) + behind
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank[order] = np.cumsum(new) - 1
         step *= 2
+    rank[order] = np.arange(n)
     starts = np.concatenate([[True], ends[:-1]])
     before = np.where(starts, np.uint8(0), np.roll(text, 1))
     lf = rank[order - 1]
     return order, before[order], lf
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], pieces: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Refines the interleaving of shards' transforms until suffixes stand in order of ``depth`` symbols.
 
-    Returns the suffixes, as places in the shards' suffix orders one after the other, and the number
-    of each one's block: suffixes in a block share ``depth`` symbols. A round takes the symbols
-    before the suffixes in their present order, sorts them stably, and so has the order by one more
-    symbol; two suffixes stay in a block if their symbols and the blocks behind them agree.
+    Returns the suffixes that share ``depth`` symbols with another, as places in the shards' suffix
+    orders one after the other, and the number of each one's block: those of a block share them. A
+    round takes the two symbols before the suffixes in their present order, sorts them stably, and so
+    has the order by two more symbols; two suffixes stay in a block if their symbols and the blocks
+    behind them agree. What comes before a suffix that is alone in its block is alone in the next
+    order too, so such suffixes go, and so do those at a piece's start.
     """
-    sizes = [len(s[0]) for s in shards]
-    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    n = sum(len(s[0]) for s in shards)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    offsets = np.concatenate([[0], np.cumsum([len(s[0]) for s in shards])[:-1]])
     symbols = np.concatenate([s[1] for s in shards])
-    back = np.concatenate([s[2] + o for s, o in zip(shards, offsets, strict=True)])
-    first = np.concatenate([o + np.arange(m) for o, m in zip(offsets, pieces, strict=True)])
-    n, m = len(symbols), len(first)
-    now, block = np.arange(n), np.zeros(n, np.int64)
-    for _ in range(depth):
-        ahead = symbols[now]
-        order = np.argsort(ahead, kind="stable")[m:]
-        new = np.ones(n, bool)
+    back = np.concatenate([(s[2] + o).astype(kind) for s, o in zip(shards, offsets, strict=True)])
+    further = symbols[back]
+    pairs = np.where((symbols > 0) & (further > 0), further.astype(np.uint16) << 8 | symbols, 0).astype(np.uint16)
+    now, block = np.arange(n, dtype=kind), np.zeros(n, kind)
+    steps = [(symbols, back)] * (depth % 2) + [(pairs, back[back])] * (depth // 2)
+    for before, there in steps:
+        ahead = before[now]
+        order = np.argsort(ahead, kind="stable")[np.count_nonzero(ahead == 0) :]
         symbol, old = ahead[order], block[order]
-        new[m + 1 :] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        now = np.concatenate([first, back[now[order]]])
-        block = np.cumsum(new) - 1
-        if block[-1] == n - 1:
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
+        several = ~(new[:-1] & new[1:])
+        now, block = there[now[order[several]]], np.cumsum(new[:-1], dtype=kind)[several]
+        if not len(now):
             break
     return now, block
 
 
 def covered_starts(pieces: list[bytes], docs: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(piece, offset) of each string of ``depth`` bytes that a piece of a smaller document holds too."""
-    shards, counts, at = [], [], 0
+    shards, at = [], 0
     while at < len(pieces):
         end, size = at, 0
         while end < len(pieces) and (size == 0 or size + len(pieces[end]) < SHARD):
             size += len(pieces[end]) + 1
             end += 1
-        shards.append(shard_transform(pieces[at:end]))
-        counts.append(end - at)
+        shards.append(shard_transform(pieces[at:end], depth))
         at = end
-    now, block = merge(shards, counts, depth)
+    now, block = merge(shards, depth)
     lengths = np.array([len(p) + 1 for p in pieces])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     base = np.concatenate([[0], np.cumsum([len(s[0]) for s in shards])[:-1]])
     where = np.concatenate([s[0] + b for s, b in zip(shards, base, strict=True)])[now]
-    same = np.zeros(len(block), bool)
-    equal = block[1:] == block[:-1]
-    same[1:] |= equal
-    same[:-1] |= equal
-    where, block = where[same], block[same]
     piece = np.searchsorted(starts, where, side="right") - 1
     offset = where - starts[piece]
     whole = offset + depth <= lengths[piece] - 1
@@ -354,18 +364,20 @@ def _merge_bucket(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the pieces of whole anchors, PORTION pieces or more at a time, of batches sorted by hash within a bucket."""
     held: list[pa.RecordBatch] = []
+    count, last = 0, None
     for batch in batches:
-        # Batches are cut where the bucket changes.
-        bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(a, b - a)
-            if held and held[-1].column("bucket")[0] != part.column("bucket")[0]:
-                yield from _merge_bucket(pa.Table.from_batches(held))
-                held = []
-            if len(part):
-                held.append(part)
+        if not len(batch):
+            continue
+        anchor = batch.column("hash").to_numpy(zero_copy_only=False)
+        cuts, at = (np.nonzero(np.diff(anchor))[0] + 1).tolist(), 0
+        for cut in cuts if anchor[0] == last else [0, *cuts]:
+            if count + cut - at >= PORTION:
+                yield from _merge_bucket(pa.Table.from_batches([*held, batch.slice(at, cut - at)]))
+                held, count, at = [], 0, cut
+        held.append(batch.slice(at))
+        count, last = count + len(batch) - at, anchor[-1]
     if held:
         yield from _merge_bucket(pa.Table.from_batches(held))
 

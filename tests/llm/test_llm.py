@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -343,6 +344,27 @@ def test_merged_transforms_equal_brute_force():
         assert got == {(i, o) for i, p in enumerate(pieces) for o in range(len(p) - 2) if any(p[o : o + 3] in q and d < docs[i] for q, d in zip(pieces, docs, strict=True))}
 
 
+def test_pieces_are_merged_in_portions_of_whole_anchors(monkeypatch):
+    rnd = random.Random(5)
+    anchor = sorted(rnd.randrange(9) for _ in range(60))
+    rows = [{"_d": i, "_t": 0, "hash": a, "low": 0, "at": 10, "piece": bytes(rnd.choice(b"ab") for _ in range(9)) + b"%02d" % a * 26 + b"." * rnd.randint(0, 3), "bucket": 0} for i, a in enumerate(anchor)]
+    table, seen = pa.Table.from_pylist(rows), []
+    whole = bwtdedup._merge_bucket
+    want = sorted(str(r) for b in whole(table) for r in b.to_pylist())
+    monkeypatch.setattr(bwtdedup, "PORTION", 8)
+    monkeypatch.setattr(bwtdedup, "_merge_bucket", lambda t: (seen.append(t["hash"].to_pylist()), whole(t))[1])
+    got = sorted(str(r) for b in bwtdedup._merge_all(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist())
+    assert got == want and want
+    assert sum(seen, []) == anchor and len(seen) > 3
+    assert all(a[-1] != b[0] and len(a) >= 8 for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_merge_leaves_suffixes_that_share_the_depth():
+    shards = [bwtdedup.shard_transform([b"xabcabc", b"q"], 3), bwtdedup.shard_transform([b"abcz"], 3)]
+    now, block = bwtdedup.merge(shards, 3)
+    assert len(now) == 3 and len(set(block.tolist())) == 1
+
+
 @pytest.mark.parametrize("hot", [4000, 0])
 def test_substring_dedup_equals_brute_force(spark, hot):
     rnd = random.Random(7)
