@@ -40,9 +40,13 @@ def fingerprint(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def _marked(hashes: list[int]) -> int:
+    return _signed(fingerprint(hashes))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [_signed(fingerprint(shingle_hashes(t))) for t in batch.column("_text").to_pylist()]
+        prints = [_marked(shingle_hashes(t)) for t in batch.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
 
@@ -113,14 +117,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id, whatever its other columns.
 
-    Near copies are texts whose sets of runs of ``size`` words have a Jaccard similarity of
-    ``share`` or more, see ``shingles.similar``. Decided row by row: of rows that share a doc_id each
+    Near copies are texts whose fingerprints over runs of ``size`` words are within two bits, by
+    ``links``, or whose sets of these runs have a Jaccard similarity of ``share`` or more, see
+    ``shingles.similar``. Decided row by row: of rows that share a doc_id each
     is judged by its own text, repeated rows leave one, and of rows without a doc_id one stays where
     its group has no other. Among equal ids the text with the least hash stays.
     """
     packed = docs.select(whole_row(docs).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
     rows = materialise(packed.withColumn("_at", F.monotonically_increasing_id()))
-    groups = materialise(similar(rows.select(F.col("_at").alias("doc_id"), "text"), size, share).withColumnsRenamed({"doc_id": "_at", "component_id": "_group"}))
+    groups = materialise(similar(rows.select(F.col("_at").alias("doc_id"), "text"), _marked, links, size, share).withColumnsRenamed({"doc_id": "_at", "component_id": "_group"}))
     named = rows.select("_at", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_at").alias("_first")).join(groups, "_at")
     stays = named.groupBy("_group").agg(F.min("_first").alias("_first")).select(F.col("_first._at").alias("_at"))
     return rows.join(materialise(stays), "_at", "left_semi").select("_row.*")

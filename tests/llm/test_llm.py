@@ -214,6 +214,18 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, hot):
     assert len(set(root)) < len(texts) - 40
 
 
+def test_near_dedup_links_close_fingerprints(spark):
+    # Repeats count in a fingerprint, not in a set of runs: one text's runs are nearly all of one passage.
+    passage = " ".join(f"p{i}" for i in range(9)) + " "
+    texts = [passage * 400 + " ".join(f"{c}{i}" for i in range(12)) for c in "ab"] + [" ".join(f"c{i}" for i in range(12))]
+    prints = [simhash.fingerprint(common.shingle_hashes(t, 5)) for t in texts]
+    sets = [set(common.shingle_hashes(t, 5)) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[0] ^ prints[2]).bit_count()
+    assert len(sets[0] & sets[1]) * 5 < len(sets[0] | sets[1]) * 4
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2]
+
+
 def test_join_hot_equals_join(spark, monkeypatch):
     rows = common.materialise(spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) AS k"))
     groups = common.materialise(rows.groupBy("k").count().where("count > 1"))
