@@ -345,6 +345,50 @@ def test_line_dedup_lines_without_crowded_words_make_no_runs(spark, monkeypatch)
     discard(*kept)
 
 
+def test_line_dedup_long_lines_with_rare_words_in_common_make_no_pairs(spark, monkeypatch):
+    """Unlike lines of many words share rare words, and no runs of them; an edit in every fifth word leaves enough runs."""
+    pairs, real = [], linededup.materialise
+
+    def seen(df):
+        table = real(df)
+        pairs.append(table.count() if {"_i", "_ei"} <= set(table.columns) else 0)
+        return table
+
+    monkeypatch.setattr(linededup, "materialise", seen)
+    rnd = random.Random(3)
+    lines = [[f"w{rnd.randrange(3000)}" for _ in range(300)] for _ in range(60)]
+    edited = ["new" + w if j % 5 == 2 else w for j, w in enumerate(lines[7])]
+    docs = [(i, " ".join(w)) for i, w in enumerate([*lines, edited, ["more", *edited]])]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= 60) for i in range(62)}
+    assert sum(pairs) <= 12
+
+
+@pytest.mark.parametrize("crowd", [64, 1, 0])
+def test_line_dedup_of_few_words_equals_brute_force(spark, monkeypatch, crowd):
+    """Lines with few distinct runs ask for as many in common as two of them must share; with crowd 0 all meet by all their runs."""
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    rnd = random.Random(21)
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return 5 * row[-1] <= max(len(a), len(b))
+
+    lines = []
+    for n in [8, 9, 10, 11, 12, 14, 15, 16, 19, 20, 24, 31]:
+        for words in ("a", "ab", "abcde"):
+            line = [rnd.choice(words) for _ in range(n)]
+            lines += [line, [*line, *("xyz"[: n // 12])], [w if j % 5 else w + "x" for j, w in enumerate(line)], line[n // 5 :]]
+    rnd.shuffle(lines)
+    want = {i: int(any(near(w, x) for x in lines[:i])) for i, w in enumerate(lines)}
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_merged_transforms_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(100):
