@@ -364,6 +364,28 @@ def test_line_dedup_long_lines_with_rare_words_in_common_make_no_pairs(spark, mo
     assert sum(pairs) <= 12
 
 
+@pytest.mark.parametrize("most", [4096, 20])
+def test_line_dedup_lines_meet_in_rare_words(spark, monkeypatch, most):
+    """Lines of up to WORDS_MOST words without a common word among their rarest ones make no runs; others do, and either way near lines go."""
+    monkeypatch.setattr(linededup, "RARE", most)
+    tables, real = [], linededup.materialise
+
+    def seen(df):
+        table = real(df)
+        tables.extend([table.count()] if df.columns == ["run", "id", "e", "c"] else [])
+        return table
+
+    monkeypatch.setattr(linededup, "materialise", seen)
+    line = lambda k, n, *edits: " ".join([*(f"w{k}_{j}" for j in range(n - len(edits))), *edits])
+    docs = [(i, "\n".join(line(n, n, *(f"e{i}_{n}_{j}" for j in range(min(i, 4) * n // 20))) for n in (20, 60, 140))) for i in range(30)]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 3 * (i > 0) for i in range(30)}
+    assert len(tables) == 1 and (tables[0] == 0) == (most == 4096)
+    long = [(0, line(0, 201)), (1, line(0, 161)), (2, line(0, 160))]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(long, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
 @pytest.mark.parametrize("crowd", [64, 1, 0])
 def test_line_dedup_of_few_words_equals_brute_force(spark, monkeypatch, crowd):
     """Lines with few distinct runs ask for as many in common as two of them must share; with crowd 0 all meet by all their runs."""
